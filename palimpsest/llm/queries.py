@@ -13,6 +13,7 @@ from .encode import encode_texts
 from .groups import link_groups
 from .leaks import leaks, without_leaks
 from .near_duplicates import near_duplicate_classes, near_duplicate_pairs
+from .personal import personal_spans, redacted
 from .shared_spans import record_text, shared_paths, shared_runs
 from .similar_sets import similar_set_classes, similar_set_pairs
 from .term_counts import TermCounts, mark_terms
@@ -114,5 +115,14 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return out.where("n_removed > 0").select("doc_id", "n_removed", F.col("text").isNull().alias("dropped"), F.md5("text").alias("text_md5"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal_spans(table(spark, d, "documents"), table(spark, d, "name_lexicon"))
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    out = redacted(table(spark, d, "documents"), table(spark, d, "name_lexicon"))
+    return out.select("doc_id", "n_found", F.md5("text").alias("text_md5"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_scores, p3_found, p3_counts, p3_delta, p4_found, p4_coverage, p5_found, p6_found, p8_ids, p9_found, p9_clean)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_scores, p3_found, p3_counts, p3_delta, p4_found, p4_coverage, p5_found, p6_found, p8_ids, p9_found, p9_clean, p10_found, p10_redacted)}
