@@ -1,0 +1,156 @@
+"""A corpus: a frame of documents with their derived slots, and what was left out of it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field, replace
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import hashing, tokenizers
+from .sources import text as sources
+
+SLOTS = ("doc_id", "content", "tokens", "hashes", "minhashes", "meta")
+EMPTY = {"content": "string", "tokens": "array<string>", "hashes": "array<bigint>", "minhashes": "array<bigint>", "meta": "map<string,string>"}
+
+Slot = Callable[[Column], Column]
+
+
+def _name(f) -> str:
+    return getattr(f, "__name__", type(f).__name__)
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """Documents as rows ``(doc_id, content, tokens, hashes, minhashes, meta)``; absent slots are null.
+
+    Lazy: nothing is computed before an action. ``skipped`` has the ids that were too short.
+    """
+
+    docs: DataFrame
+    skipped: DataFrame
+    meta: Mapping[str, str] = field(default_factory=dict)
+
+    @classmethod
+    def of(
+        cls,
+        source: DataFrame,
+        tokenizer: Slot | None = tokenizers.ngrams,
+        hash_func: Slot = hashing.hash_tokens,
+        minhash_func: Slot | None = None,
+        keep_tokens: bool = False,
+        keep_text: bool = True,
+        skip_short: bool = True,
+        n: int = 3,
+        k: int = 0,
+        meta: Mapping[str, str] | None = None,
+        unique: bool = False,
+    ) -> "Corpus":
+        """From rows ``(doc_id, content, meta)``. Documents of fewer than ``minimum_words(n, k)`` words, and null ones, are skipped.
+
+        ``unique`` checks that ids don't repeat (one aggregation, at once).
+        """
+        if unique and source.groupBy("doc_id").count().where("count > 1").limit(1).count():
+            raise ValueError("ids must be unique")
+        least = tokenizers.minimum_words(n, k)
+        long_enough = F.coalesce(tokenizers.word_count(F.col("content")) >= least, F.lit(False))
+        kept = source.where(long_enough) if skip_short else source
+        skipped = source.where(~long_enough).select("doc_id") if skip_short else source.select("doc_id").limit(0)
+        note = {"tokenizer": _name(tokenizer) if tokenizer else "", "hash_func": _name(hash_func), "minhash_func": _name(minhash_func) if minhash_func else ""}
+        named = F.create_map(*[F.lit(x) for kv in note.items() if kv[1] for x in kv])
+        docs = kept.withColumn("meta", F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(F.coalesce("meta", F.create_map().cast("map<string,string>")), named)))))
+        return cls(_slots(docs, tokenizer, hash_func, minhash_func, keep_tokens, keep_text), skipped, dict(sorted((meta or {}).items())))
+
+    @classmethod
+    def from_texts(cls, spark: SparkSession, texts: Sequence[str] | Mapping[str, str], **options) -> "Corpus":
+        return cls.of(sources.from_texts(spark, texts), **options)
+
+    @classmethod
+    def from_paths(cls, spark: SparkSession, paths: Sequence[str], encoding: str = "UTF-8", **options) -> "Corpus":
+        return cls.of(sources.from_paths(spark, paths, encoding), **options)
+
+    @classmethod
+    def from_dir(cls, spark: SparkSession, folder: str, encoding: str = "UTF-8", **options) -> "Corpus":
+        return cls.of(sources.from_dir(spark, folder, encoding), **options)
+
+    @classmethod
+    def from_dataframe(cls, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> "Corpus":
+        return cls.of(sources.from_dataframe(df, id_col, text_col), **options)
+
+    def tokenize(self, tokenizer: Slot, hash_func: Slot = hashing.hash_tokens, minhash_func: Slot | None = None, keep_tokens: bool = True, keep_text: bool = True) -> "Corpus":
+        """Tokens and hashes anew from the content; signatures are dropped unless ``minhash_func`` makes new ones."""
+        return replace(self, docs=_slots(self.docs.drop("tokens", "hashes", "minhashes"), tokenizer, hash_func, minhash_func, keep_tokens, keep_text))
+
+    def rehash(self, func: Slot, kind: str = "hashes") -> "Corpus":
+        """Hashes or signatures anew from the kept tokens; a document without tokens is an error."""
+        if kind not in ("hashes", "minhashes"):
+            raise ValueError("kind must be hashes or minhashes")
+        have = F.when(F.col("tokens").isNotNull(), func(F.col("tokens"))).otherwise(F.raise_error(F.lit("documents must keep their tokens to be hashed again")))
+        return replace(self, docs=self.docs.withColumn(kind, have))
+
+    def slot(self, name: str) -> DataFrame:
+        """``(doc_id, slot)``."""
+        return self.docs.select("doc_id", name)
+
+    def has(self, name: str) -> bool:
+        """Whether every document has the slot."""
+        return bool(self.docs.agg(F.coalesce(F.bool_and(F.col(name).isNotNull()), F.lit(False))).first()[0])
+
+    def subset(self, ids: Sequence | DataFrame) -> "Corpus":
+        """Some documents; meta and skipped ids stay."""
+        if isinstance(ids, DataFrame):
+            return replace(self, docs=self.docs.join(ids.toDF("doc_id").distinct(), "doc_id", "left_semi"))
+        return replace(self, docs=self.docs.where(F.col("doc_id").isin(list(ids))))
+
+    def document(self, doc_id):
+        """One document as a row, or None."""
+        return self.docs.where(F.col("doc_id") == doc_id).first()
+
+    def names(self) -> DataFrame:
+        return self.docs.select("doc_id")
+
+    def rename(self, mapping: DataFrame) -> "Corpus":
+        """New ids from rows ``(old, new)``; ids that aren't in it stay, and so does ``meta``."""
+        m = mapping.toDF("doc_id", "__new")
+        return replace(self, docs=self.docs.join(m, "doc_id", "left").withColumn("doc_id", F.coalesce("__new", "doc_id")).drop("__new"))
+
+    def with_meta(self, **tags: str) -> "Corpus":
+        return replace(self, meta=dict(sorted({**self.meta, **tags}.items())))
+
+    def doc_meta(self, tag: str) -> DataFrame:
+        return self.docs.select("doc_id", F.element_at("meta", tag).alias(tag))
+
+    def __len__(self) -> int:
+        return self.docs.count()
+
+    def __repr__(self) -> str:
+        return f"Corpus({', '.join(f'{k}: {v}' for k, v in self.meta.items()) or 'no meta'}; slots {', '.join(self.docs.columns)})"
+
+
+def _slots(docs: DataFrame, tokenizer, hash_func, minhash_func, keep_tokens: bool, keep_text: bool) -> DataFrame:
+    out = docs
+    out = out.withColumn("tokens", tokenizer(F.col("content")) if tokenizer else F.lit(None).cast(EMPTY["tokens"]))
+    out = out.withColumn("hashes", hash_func(F.col("tokens")) if tokenizer else F.lit(None).cast(EMPTY["hashes"]))
+    out = out.withColumn("minhashes", minhash_func(F.col("tokens")) if tokenizer and minhash_func else F.lit(None).cast(EMPTY["minhashes"]))
+    if not keep_tokens:
+        out = out.withColumn("tokens", F.lit(None).cast(EMPTY["tokens"]))
+    if not keep_text:
+        out = out.withColumn("content", F.lit(None).cast(EMPTY["content"]))
+    return out.select(*SLOTS)
+
+
+def is_corpus(x) -> bool:
+    return isinstance(x, Corpus)
+
+
+def is_documents(df: DataFrame) -> bool:
+    return set(SLOTS) <= set(df.columns)
+
+
+def is_lsh_buckets(df: DataFrame) -> bool:
+    return df.columns == ["doc", "buckets"]
+
+
+def is_candidates(df: DataFrame) -> bool:
+    return {"a", "b", "score"} <= set(df.columns)

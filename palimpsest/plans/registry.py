@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from . import queries as overlap
 from . import skew
 
 
 def queries() -> dict:
-    return {**skew.QUERIES}
+    return {**overlap.QUERIES, **skew.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**skew.ORACLE}
+    return {**overlap.ORACLE, **skew.ORACLE}
