@@ -71,3 +71,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of the session, never fewer than the cores."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def parts_for(spark: SparkSession, rows: float, each: int = 4_000_000) -> int:
+    """Partitions so that a task which holds its rows in memory gets about ``each`` of them at most.
+
+    Never fewer than the session's shuffle partitions, so a session set for small data doesn't make tasks grow with
+    the data.
+    """
+    return max(parallelism(spark), -(-int(rows) // each))
