@@ -125,7 +125,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", col: str = "mi
         keep[keep] = differ[keep].sum(axis=1) <= ring.radius
         return keep
 
-    found = P.candidates(reps, ["rid", "sig", "sketch"], keyer, refine, near, share, cap, written)
+    found = P.candidates(reps, ["rid", "sig", "sketch"], keyer, refine, near, len(spec), share, cap, written)
     sig = reps.select("rid", "sig")
     both = found.join(sig.select(F.col("rid").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("rid").alias("b"), F.col("sig").alias("y")), "b")
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import parts_for
+
 HEAVY_LEAST = 64
 NONE = np.uint64(0)  # a key that a record doesn't have
 
@@ -121,7 +123,7 @@ def _pair_batch(a: np.ndarray, b: np.ndarray, key: np.ndarray | None = None) ->
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.zeros(len(a), np.int64) if key is None else key)], names=["a", "b", "key"])
 
 
-def meet(keys: DataFrame, cap: int) -> DataFrame:
+def meet(keys: DataFrame, cap: int, parts: int) -> DataFrame:
     """Pairs ``(a, b)`` of rids that share a key; members of groups over ``cap`` come as ``(rid, -1, key)``.
 
     A task sorts the keys it holds; the hottest keys have been taken out before, so none fills a task.
@@ -153,7 +155,7 @@ def meet(keys: DataFrame, cap: int) -> DataFrame:
                 u = u[u[:, 0] != u[:, 1]]
                 yield _pair_batch(u[:, 0], u[:, 1])
 
-    return keys.repartition("key").mapInArrow(run, "a long, b long, key long")
+    return keys.repartition(parts, "key").mapInArrow(run, "a long, b long, key long")
 
 
 def refine_big(big: DataFrame, reps: DataFrame, columns: list[str], keyer, refine) -> DataFrame:
@@ -216,11 +218,12 @@ def sketch_filter(pairs: DataFrame, reps: DataFrame, near: Callable[[np.ndarray,
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def candidates(reps: DataFrame, columns: list[str], keyer, refine, near, share: float, cap: int, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """All pairs of classes that meet under a key and pass the sketch, each once."""
+def candidates(reps: DataFrame, columns: list[str], keyer, refine, near, per_row: int, share: float, cap: int, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """All pairs of classes that meet under a key and pass the sketch, each once. A class has about ``per_row`` keys."""
+    parts = parts_for(reps.sparkSession, reps.count() * per_row)
     hot = local_heavy(reps, columns, keyer, share)
     light, heavy = keyed(reps, columns, keyer, refine, hot)
-    met = write(meet(light, cap), "met")
+    met = write(meet(light, cap, parts), "met")
     pairs = sketch_filter(met.where(F.col("b") >= 0).select("a", "b").distinct(), reps, near)
     big = refine_big(met.where(F.col("b") < 0), reps, columns, keyer, refine)
     fine = big if heavy is None else big.unionByName(heavy)

@@ -26,8 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..runtime import written
-from .chunks import chunked
+from ..runtime import parts_for, written
+from .chunks import CHARS, chunked
 from .pairs import _bounds, _table
 from .words import WordCodes, mix, windows, word_list
 
@@ -111,9 +111,10 @@ def shared_paths(df: DataFrame, id_col: str, text: Column, k: int = 20) -> tuple
         flag = np.repeat((into * 1 + out * 2).astype(np.int8), size)
         yield pa.RecordBatch.from_arrays([pa.array(chunk[keep]), pa.array(h[keep]), pa.array(flag[keep])], names=["chunk", "h", "flag"])
 
+    parts = parts_for(df.sparkSession, chunks.count() * CHARS / 5)
     found = (
         chunks.mapInArrow(edges, "h long, chunk long, beside long, several boolean")
-        .repartition("h")
+        .repartition(parts, "h")
         .mapInArrow(repeated, "chunk long, h long, flag tinyint")
     )
 

@@ -159,7 +159,7 @@ def similar_set_classes(df: DataFrame, id_col: str = "doc_id", col: str = "hashe
     def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.bitwise_count(a ^ b).sum(axis=1) <= radius
 
-    found = P.candidates(index, ["rid", "anchor", "sketch"], keyer, refine, near, share, cap, written)
+    found = P.candidates(index, ["rid", "anchor", "sketch"], keyer, refine, near, segments, share, cap, written)
     v = reps.select("rid", "v")
     both = found.join(v.select(F.col("rid").alias("a"), F.col("v").alias("x")), "a").join(v.select(F.col("rid").alias("b"), F.col("v").alias("y")), "b")
     common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("k"), (F.size("x") + F.size("y")).alias("t"))
