@@ -42,6 +42,8 @@ def code_radius(least: float, bits: int = BITS, miss: float = 0.0005) -> int:
     A bit differs with probability (1 - least) / 2, so the distance is binomial; the tail is summed exactly.
     """
     p = (1 - least) / 2
+    if p <= 0:
+        return 0
     total = 0.0
     for d in range(bits + 1):
         total += math.exp(math.lgamma(bits + 1) - math.lgamma(d + 1) - math.lgamma(bits - d + 1) + d * math.log(p) + (bits - d) * math.log(1 - p))
