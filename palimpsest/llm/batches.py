@@ -3,12 +3,12 @@
 A record is rejected if it shares at least ``least`` distinct buckets with one accepted record of an earlier
 batch; records of one batch are not compared with each other.
 
-Immutable segments, one for each batch, hold the sorted bucket symbols of its records with their coordinates, and
-``BatchIndex`` merges segments of equal size (so their number grows with the logarithm of the batches). The
-suffix arrays of the method's general form order whole suffixes, which find long contiguous matches; here a
-match is any three common buckets, contiguous or not, and a symbol is already as long as a match unit. A suffix
-array of such a text, cut after one symbol, is the sorted symbol table used here, and its binary search
-is the sorted lookup of Spark's merge join. Coverage is aggregated per pair of records.
+Immutable segments, one for each batch, hold the sorted bucket symbols of its accepted records with their
+places, and ``BatchIndex`` merges segments of equal level, so their number grows with the logarithm of the
+batches. The suffix arrays of the method's general form order whole suffixes, which find long contiguous matches;
+here a match is any three common buckets, contiguous or not, and a bucket is already a match unit. A suffix array of
+such a text, cut after one symbol, is the sorted symbol table used here, and its search is the sorted lookup of Spark's
+merge join. Coverage is aggregated per pair of records.
 
 Hot buckets: records with the same buckets in the same batch share their fate and are one node. A node leaves out
 its ``least - 1`` most frequent buckets when it looks for partners (two nodes with ``least`` common buckets still
@@ -21,12 +21,10 @@ in no arrival take no part; repeated rows count once; empty tables give no rows;
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import path_exists, scratch_path, written
+from ..runtime import scratch_path, written
 
 
 def batch_of(arrivals: DataFrame, doc: str = "doc", batch: str = "batch_no") -> DataFrame:
@@ -40,38 +38,32 @@ def nodes_of(buckets: DataFrame, batches: DataFrame, doc: str = "doc", bucket: s
     return sets.join(batches, "doc").withColumn("node", F.xxhash64("batch", "s"))
 
 
-def match_nodes(nodes: DataFrame, least: int = 3, cap: int = 256) -> tuple[DataFrame, DataFrame]:
-    """Links between nodes ``(node, batch, s)`` of different batches.
+def match_rows(rows: DataFrame, least: int = 3, cap: int = 256) -> DataFrame:
+    """``(node)``: new nodes that share at least ``least`` symbols with one old node.
 
-    Returns edges ``(old, new, batch)`` (``batch`` of the new node) and hot sets ``(hot, node, batch)``: two nodes that
-    share a ``hot`` have at least ``least`` common symbols.
+    ``rows`` are distinct ``(node, new, s)``: the symbols of the new nodes, and those of old nodes that some new one holds.
     """
-    every = nodes.select("node", "batch", F.explode("s").alias("s"))
-    often = every.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("batch").alias("lo"), F.max("batch").alias("hi")).where("df > 1 and lo < hi").select("s", "df")
-    # one row for each node with the symbols that anybody shares, the rarest first
+    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.max("new").alias("some_new"), F.min("new").alias("all_new")).where("some_new and not all_new").select("s", "df")
+    # one row for each node with the symbols that both sides hold, the rarest first
     shared = written(
-        every.join(often, "s").groupBy("node", "batch").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("k")).where(F.size("k") >= least),
+        rows.join(often, "s").groupBy("node", "new").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("k")).where(F.size("k") >= least),
         "shared",
     )
-    prefix = shared.select("node", "batch", F.explode(F.slice("k", F.lit(1), F.size("k") - (least - 1))).alias("p")).select("node", "batch", "p.df", "p.s")
-    rare = prefix.where(F.col("df") <= cap).select("node", "batch", "s")
-    pairs = (
-        rare.select("s", F.col("node").alias("old"), F.col("batch").alias("old_batch"))
-        .join(rare.select("s", F.col("node").alias("new"), "batch"), "s")
-        .where("old_batch < batch")
-        .select("old", "new", "batch")
-        .distinct()
-    )
+    front = shared.select("node", "new", "k", F.explode(F.slice("k", F.lit(1), F.size("k") - (least - 1))).alias("p"))
+    rare = front.where(F.col("p.df") <= cap).select("node", "new", F.col("p.s").alias("s"))
+    pairs = rare.where("not new").select("s", F.col("node").alias("old")).join(rare.where("new").select("s", "node"), "s").select("old", "node").distinct()
     symbols = shared.select("node", F.col("k.s").alias("s"))
-    edges = (
+    near = (
         pairs.join(symbols.select(F.col("node").alias("old"), F.col("s").alias("x")), "old")
-        .join(symbols.select(F.col("node").alias("new"), F.col("s").alias("y")), "new")
+        .join(symbols.select("node", F.col("s").alias("y")), "node")
         .where(F.size(F.array_intersect("x", "y")) >= least)
-        .select("old", "new", "batch")
+        .select("node")
     )
-    hot_prefix = shared.select("node", "batch", "k", F.explode(F.slice("k", F.lit(1), F.size("k") - (least - 1))).alias("p")).where(F.col("p.df") > cap)
-    others = F.filter("k", lambda x: x["s"] != F.col("p.s"))
-    with_others = hot_prefix.select("node", "batch", F.col("p.s").alias("h"), F.transform(others, lambda x: x["s"]).alias("o"))
+    hot_front = front.where(F.col("p.df") > cap)
+    if hot_front.isEmpty():
+        return near.distinct()
+    others = F.transform(F.filter("k", lambda x: x["s"] != F.col("p.s")), lambda x: x["s"])
+    with_others = hot_front.select("node", "new", F.col("p.s").alias("h"), others.alias("o"))
     # all sets of `least` symbols with h: the other members are taken in index order
     chosen = F.transform("o", lambda x, i: F.struct(i.alias("i"), F.array(x).alias("m")))
     for _ in range(least - 2):
@@ -79,54 +71,20 @@ def match_nodes(nodes: DataFrame, least: int = 3, cap: int = 256) -> tuple[DataF
             F.transform(c, lambda t: F.transform(F.filter(F.transform("o", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda y: y["i"] > t["i"]), lambda y: F.struct(y["i"].alias("i"), F.concat(t["m"], F.array(y["x"])).alias("m"))))
         )
         chosen = grown(chosen)
-    hot = with_others.select("node", "batch", "h", F.explode(chosen).alias("c")).select(F.xxhash64(F.array_sort(F.concat(F.array("h"), F.col("c.m")))).alias("hot"), "node", "batch")
-    return edges, hot.distinct()
-
-
-def rejected_nodes(edges: DataFrame, hot: DataFrame, batches: list, name: str = "rejected") -> DataFrame | None:
-    """Nodes rejected when the batches are decided in ascending order, one small job for each."""
-    spark = edges.sparkSession
-    paths: list[str] = []
-    has_hot = not hot.isEmpty()
-    for batch in batches:
-        new = edges.where(F.col("batch") == batch).select("old", F.col("new").alias("node"))
-        gone = spark.read.schema("node long").parquet(*paths) if paths else None
-        if gone is not None:
-            new = new.join(gone.select(F.col("node").alias("old")), "old", "left_anti")
-        out = new.select("node")
-        if has_hot:
-            old = hot.where(F.col("batch") < batch).select("hot", "node")
-            if gone is not None:
-                old = old.join(gone, "node", "left_anti")
-            out = out.unionByName(hot.where(F.col("batch") == batch).join(old.select("hot").distinct(), "hot", "left_semi").select("node"))
-        path = scratch_path(spark, name)
-        out.distinct().write.parquet(path)
-        paths.append(path)
-    return spark.read.schema("node long").parquet(*paths) if paths else None
-
-
-def rejected_records(buckets: DataFrame, arrivals: DataFrame, least: int = 3, cap: int = 256) -> DataFrame:
-    """``(doc)``: the records rejected when all batches are taken in ascending order."""
-    found = written(nodes_of(buckets, batch_of(arrivals)), "nodes")
-    nodes = found.groupBy("node", "batch").agg(F.any_value("s").alias("s"))
-    edges, hot = match_nodes(nodes, least, cap)
-    edges, hot = written(edges, "edges"), written(hot, "hot")
-    # the batches that can reject anything: their number is that of the batches, not of the records
-    late = sorted(r[0] for r in edges.select("batch").union(hot.select("batch")).distinct().collect())
-    gone = rejected_nodes(edges, hot, late)
-    if gone is None:
-        return found.select("doc").limit(0)
-    return found.join(gone, "node", "left_semi").select("doc")
+    sets = with_others.select("node", "new", "h", F.explode(chosen).alias("c")).select("node", "new", F.xxhash64(F.array_sort(F.concat(F.array("h"), F.col("c.m")))).alias("hot"))
+    by_set = sets.where("new").select("hot", "node").join(sets.where("not new").select("hot").distinct(), "hot", "left_semi").select("node")
+    return near.unionByName(by_set).distinct()
 
 
 class BatchIndex:
     """Accepted history as immutable segments, so that a new batch is checked without reprocessing it.
 
-    ``add`` decides one batch against the segments and appends the accepted part as a segment of level 0; two
-    segments of a level merge into one of the next, so a record is rewritten at most log2(batches) times.
+    A segment is the sorted table ``(s, node)`` of a batch's symbols and their places. ``decide`` looks the symbols of one
+    batch up in the segments and appends the accepted part as a segment of level 0; two segments of a level merge into
+    one of the next, so a row is written again at most log2(batches) times.
     """
 
-    schema = "node long, batch long, s array<bigint>"
+    schema = "s long, node long"
 
     def __init__(self, spark: SparkSession, path: str | None = None, least: int = 3, cap: int = 256):
         self.spark, self.path, self.least, self.cap = spark, path or scratch_path(spark, "batches"), least, cap
@@ -136,24 +94,29 @@ class BatchIndex:
     def segments(self) -> int:
         return len(self.levels)
 
-    def add(self, batch: DataFrame, doc: str = "doc", bucket: str = "buckets") -> DataFrame:
-        """``(doc, rejected)`` of the records of the batch."""
+    def decide(self, nodes: DataFrame) -> DataFrame:
+        """``(node)``: the rejected of a batch's distinct nodes ``(node, s)``; the others are appended."""
         self.number += 1
-        docs = batch.select(F.col(doc).alias("doc")).where("doc is not null").distinct().withColumn("batch", F.lit(self.number).cast("long"))
-        mine = written(nodes_of(batch, docs, doc, bucket), "batch")
-        nodes = mine.groupBy("node", "batch").agg(F.any_value("s").alias("s"))
+        mine = nodes.select("node", F.explode("s").alias("s"))
+        path = f"{self.path}/rejected/{self.number}"
         if self.levels:
-            # of the history, only records that hold a symbol of the batch take part
-            asked = nodes.select(F.explode("s").alias("x")).distinct()
             past = self.spark.read.schema(self.schema).parquet(*[p for _, p in self.levels])
-            touched = past.select("node", "batch", "s", F.explode("s").alias("x")).join(asked, "x", "left_semi").groupBy("node", "batch").agg(F.any_value("s").alias("s"))
-            edges, hot = match_nodes(nodes.unionByName(touched.withColumn("batch", F.lit(0).cast("long"))), self.least, self.cap)
-            gone = rejected_nodes(edges, hot, [self.number])
+            # of the history, only the rows of symbols that the batch holds take part
+            touched = past.join(mine.select("s").distinct(), "s", "left_semi")
+            gone = match_rows(mine.withColumn("new", F.lit(True)).unionByName(touched.withColumn("new", F.lit(False))), self.least, self.cap)
         else:
-            gone = self.spark.createDataFrame([], "node long")
-        verdict = written(mine.join(gone.withColumn("rejected", F.lit(True)), "node", "left").select("doc", "node", "batch", "s", F.coalesce("rejected", F.lit(False)).alias("rejected")), "verdict")
-        self._append(verdict.where("not rejected").groupBy("node", "batch").agg(F.any_value("s").alias("s")))
-        return verdict.select("doc", "rejected")
+            gone = nodes.select("node").limit(0)
+        gone.write.mode("overwrite").parquet(path)
+        gone = self.spark.read.schema("node long").parquet(path)
+        self._append(mine.join(gone, "node", "left_anti").select("s", "node"))
+        return gone
+
+    def add(self, batch: DataFrame, doc: str = "doc", bucket: str = "buckets") -> DataFrame:
+        """``(doc, rejected)`` of the records of the batch."""
+        docs = batch.select(F.col(doc).alias("doc")).where("doc is not null").distinct().withColumn("batch", F.lit(self.number + 1).cast("long"))
+        mine = written(nodes_of(batch, docs, doc, bucket), "batch")
+        gone = self.decide(mine.groupBy("node").agg(F.any_value("s").alias("s")))
+        return mine.join(gone.withColumn("rejected", F.lit(True)), "node", "left").select("doc", F.coalesce("rejected", F.lit(False)).alias("rejected"))
 
     def _append(self, rows: DataFrame) -> None:
         level = 0
@@ -161,5 +124,23 @@ class BatchIndex:
             rows = rows.unionByName(self.spark.read.schema(self.schema).parquet(self.levels.pop()[1]))
             level += 1
         path = f"{self.path}/{self.number}-{level}"
-        rows.select("node", "batch", "s").write.mode("overwrite").option("compression", "zstd").parquet(path)
+        rows.repartition("s").sortWithinPartitions("s").write.mode("overwrite").option("compression", "zstd").parquet(path)
         self.levels.append((level, path))
+
+
+def rejected_records(buckets: DataFrame, arrivals: DataFrame, least: int = 3, cap: int = 256) -> DataFrame:
+    """``(doc)``: the records rejected when all batches go through a ``BatchIndex`` in ascending order."""
+    spark = buckets.sparkSession
+    path = scratch_path(spark, "nodes")
+    nodes = nodes_of(buckets, batch_of(arrivals))
+    nodes.write.partitionBy("batch").option("compression", "zstd").parquet(path)
+    found = spark.read.schema(nodes.schema).parquet(path)
+    # one value for each batch, not for each record
+    batches = sorted(r[0] for r in found.select("batch").distinct().collect())
+    index, gone = BatchIndex(spark, least=least, cap=cap), None
+    for batch in batches:
+        now = index.decide(found.where(F.col("batch") == batch).groupBy("node").agg(F.any_value("s").alias("s")))
+        gone = now if gone is None else gone.unionByName(now)
+    if gone is None:
+        return found.select("doc").limit(0)
+    return found.join(gone, "node", "left_semi").select("doc")

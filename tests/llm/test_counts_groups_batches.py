@@ -109,7 +109,7 @@ def replay(buckets, batch, least=3):
     return gone
 
 
-@pytest.mark.parametrize("cap", [1, 5, 256])
+@pytest.mark.parametrize("cap", [1, 256])
 def test_batches(spark, cap):
     rng = random.Random(3)
     rows, arrived = [], []
@@ -118,10 +118,10 @@ def test_batches(spark, cap):
         for n in range(6):
             d = f"d{g:02}-{n}"
             rows += [(d, b) for b in base if rng.random() < 0.6] + [(d, f"own-{d}")] + [(d, f"junk{j}") for j in range(4) if rng.random() < 0.5]
-            arrived += [(d, rng.randint(1, 6)), (d, rng.choice([None, 7]))]
+            arrived += [(d, rng.randint(1, 3)), (d, rng.choice([None, 4]))]
     # a third of all records are copies of each other
     rows += [(f"copy{i:02}", f"k{j}") for i in range(30) for j in range(5)]
-    arrived += [(f"copy{i:02}", 1 + i % 7) for i in range(30)]
+    arrived += [(f"copy{i:02}", 1 + i % 4) for i in range(30)]
     rows += [rows[0], (None, "x"), ("d00-0", None), ("stranger", "k0"), ("stranger", "k1"), ("stranger", "k2")]
     arrived += [(None, 1), ("nobuckets", 2)]
     b = spark.createDataFrame([(d, x, 1, 2) for d, x in rows], "doc string, buckets string, batch long, node long")
