@@ -17,7 +17,7 @@ from ..operators import index as I
 from ..operators import lsh as L
 from ..operators import pairwise as P
 from ..operators.align import align_pairs
-from ..runtime import table, written
+from ..runtime import parallelism, table, written
 
 N, H, BANDS, SEED, LEAST = 5, 100, 25, 42, 0.5
 
@@ -43,7 +43,8 @@ def text_classes(spark, d):
 def representatives(spark, d) -> DataFrame:
     docs = _docs(spark, d).where("text is not null")
     first = docs.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    return docs.join(first, "doc_id", "left_semi")
+    # tokenizing costs far more than the bytes suggest by which small shuffles are merged into few partitions
+    return docs.join(first, "doc_id", "left_semi").repartition(parallelism(spark), "doc_id")
 
 
 def _hashed(spark, d, n: int = N) -> DataFrame:
