@@ -17,13 +17,13 @@ from ..operators import index as I
 from ..operators import lsh as L
 from ..operators import pairwise as P
 from ..operators.align import align_pairs
-from ..runtime import parallelism, table, written
+from ..runtime import parallelism, spread, table, written
 
 N, H, BANDS, SEED, LEAST = 5, 100, 25, 42, 0.5
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def _w(spark: SparkSession, d: str, lowercase: bool = True) -> DataFrame:
