@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import written
+
 
 def _rows(df: DataFrame, id_col: str, tokens: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc"), F.explode(F.array_distinct(tokens)).alias("token")).where("token is not null and doc is not null").distinct()
@@ -32,8 +36,90 @@ def token_postings(df: DataFrame, id_col: str = "doc_id", tokens: str = "tokens"
     return _rows(df, id_col, tokens).join(token_counts(df, id_col, tokens, least, most).select("token"), "token", "left_semi").select("token", "doc")
 
 
-def token_index_candidates(index: DataFrame) -> DataFrame:
-    """Distinct pairs ``(a, b, score NULL)`` of documents that share a token of an index or of its postings."""
-    rows = index if "doc" in index.columns else index.select("token", F.explode("docs").alias("doc"))
-    pairs = rows.select("token", F.col("doc").alias("a")).join(rows.select("token", F.col("doc").alias("b")), "token").where("a < b")
-    return pairs.select("a", "b").distinct().withColumn("score", F.lit(None).cast("double"))
+def token_index_candidates(index: DataFrame, each: int = 1000) -> DataFrame:
+    """Distinct pairs ``(a, b, score NULL)`` of documents that share a token of an index or of its postings.
+
+    The documents of a token in more than ``each`` of them are split into blocks of about that size, by a hash of the
+    document, and every block meets the token's whole list in a task of its own; no pair is left out by that.
+    """
+    rows = index.select("token", "doc") if "doc" in index.columns else index.select("token", F.explode("docs").alias("doc"))
+    hot = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / each).cast("int").alias("blocks")).where("blocks > 1")
+    split = rows.join(hot, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    left = split.select("token", F.col("doc").alias("a"), F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"))
+    right = split.select("token", F.col("doc").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return left.join(right, ["token", "block"]).where("a < b").select("a", "b").distinct().withColumn("score", F.lit(None).cast("double"))
+
+
+def token_index_partners(df: DataFrame, id_col: str = "doc_id", tokens: str = "hashes", each: int = 65_536, dense: int = 256) -> DataFrame:
+    """``(doc, n_partners)``: for every document of the index, with how many others it shares a token. No token is left out.
+
+    Tokens are BIGINT (take 64-bit hashes), ids are unique. The pairs grow with the square of a family of near copies,
+    so they are counted without being formed: documents are split into blocks of about ``each``, and a task takes two
+    blocks. There a token in more than ``dense`` documents of a block is a bit set, and a document's partners are the
+    bits of the union over its tokens. The bits are still documents squared, in words of 64.
+    """
+    kind = dict(df.dtypes)[id_col]
+    rows = df.select(F.col(id_col).alias("doc"), F.explode(F.array_distinct(tokens)).alias("token")).where("token is not null and doc is not null")
+    held = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("n > 1")
+    sets = written(held.groupBy("doc").agg(F.collect_list("token").alias("t")), "sets")
+    blocks = max(1, -(-sets.count() // each))
+    tiled = (
+        sets.withColumn("i", F.pmod(F.xxhash64("doc"), F.lit(blocks)).cast("int"))
+        .withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .select((F.least("i", "j") * blocks + F.greatest("i", "j")).alias("tile"), "i", "doc", "t")
+    )
+
+    def tile(rows: pa.Table) -> pa.Table:
+        i = rows["i"].to_numpy()
+        sides = [rows.filter(pa.array(i == k)) for k in np.unique(i)]
+        # a tile of two blocks that misses one of them has nothing to add; a block meets itself in its own tile
+        met = [(sides[0], sides[0])] if rows["tile"][0].as_py() % (blocks + 1) == 0 else [(sides[0], sides[1]), (sides[1], sides[0])] if len(sides) == 2 else []
+        out = [pa.table({"doc": x["doc"], "n": pa.array(_union_sizes(_flat(x), _flat(y), dense))}) for x, y in met]
+        return pa.concat_tables(out) if out else pa.table({"doc": rows["doc"].slice(0, 0), "n": pa.array([], pa.int64())})
+
+    met = tiled.groupBy("tile").applyInArrow(tile, f"doc {kind}, n long")
+    # a document meets itself once
+    return met.groupBy("doc").agg((F.sum("n") - 1).alias("n_partners"))
+
+
+def _flat(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    lists = rows["t"].combine_chunks()
+    off = lists.offsets.to_numpy()
+    return lists.flatten().to_numpy(zero_copy_only=False), off - off[0]
+
+
+def _union_sizes(asked: tuple[np.ndarray, np.ndarray], held: tuple[np.ndarray, np.ndarray], dense: int) -> np.ndarray:
+    """For each list of ``asked``: how many lists of ``held`` share a token with it. Both are tokens and list offsets."""
+    (tokens, at), (others, starts) = asked, held
+    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    order = np.argsort(others, kind="stable")
+    names, first, n = np.unique(others[order], return_index=True, return_counts=True)
+    owner, width = owner[order], -(-(len(starts) - 1) // 64) * 64
+    place = np.minimum(np.searchsorted(names, tokens), max(len(names) - 1, 0))
+    known = names[place] == tokens if len(names) else np.zeros(len(tokens), bool)
+    often = np.flatnonzero(n > dense)
+    bits = np.zeros((len(often), width // 8), np.uint8)
+    for r, k in enumerate(often):
+        one = np.zeros(width, bool)
+        one[owner[first[k] : first[k] + n[k]]] = True
+        bits[r] = np.packbits(one)
+    bits = bits.view(np.uint64)
+    row_of = np.full(len(names), -1)
+    row_of[often] = np.arange(len(often))
+    out = np.zeros(len(at) - 1, np.int64)
+    for lo in range(0, len(out), 128):
+        hi = min(lo + 128, len(out))
+        mine = slice(at[lo], at[hi])
+        doc = np.repeat(np.arange(hi - lo), np.diff(at[lo : hi + 1]))[known[mine]]
+        k = place[mine][known[mine]]
+        hot = row_of[k] >= 0
+        rare, length = k[~hot], n[k[~hot]]
+        step = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        seen = np.zeros((hi - lo, width), bool)
+        seen[np.repeat(doc[~hot], length), owner[np.repeat(first[rare], length) + step]] = True
+        packed = np.packbits(seen, axis=1).view(np.uint64)
+        if hot.any():
+            d, begin = np.unique(doc[hot], return_index=True)
+            packed[d] |= np.bitwise_or.reduceat(bits[row_of[k[hot]]], begin, axis=0)
+        out[lo:hi] = np.bitwise_count(packed).sum(axis=1)
+    return out

@@ -193,10 +193,25 @@ def token_frequencies(spark, d):
     return I.token_counts(_three(spark, d), least=2)
 
 
-def token_index_candidates(spark, d):
+def _five(spark, d) -> DataFrame:
     reps = representatives(spark, d).select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= minimum_words(N))
-    postings = I.token_postings(reps.select("doc_id", shingle(F.col("w"), N).alias("tokens")), least=2, most=10)
-    return I.token_index_candidates(postings).select("a", "b", "score")
+    return reps.select("doc_id", shingle(F.col("w"), N).alias("tokens"))
+
+
+def token_index_candidates(spark, d):
+    """Candidates of a band of the index, tokens in 2 to 10 documents, as its SQL has it; the others are in the two queries below."""
+    return I.token_index_candidates(I.token_postings(_five(spark, d), least=2, most=10)).select("a", "b", "score")
+
+
+def token_index_candidates_all(spark, d):
+    """Candidates of the whole index. Their number grows with the square of the documents that share a token."""
+    return I.token_index_candidates(I.token_postings(_five(spark, d))).select("a", "b", "score")
+
+
+def token_index_partners(spark, d):
+    """With how many others each document of the whole index is a candidate; the pairs are not formed."""
+    h = _five(spark, d).select("doc_id", F.transform("tokens", lambda x: F.xxhash64(x)).alias("hashes"))
+    return I.token_index_partners(h).withColumnRenamed("doc", "doc_id")
 
 
 def jaccard_pairs(spark, d):
@@ -254,7 +269,7 @@ QUERIES = {
     for f in (
         word_counts, tokenize_words, tokenize_words_cased, tokenize_ngrams_3, tokenize_ngrams_5, tokenize_skip_ngrams_3_2, tokenize_sentences, squished, short_docs_kept, short_docs_skipped, skip_ngram_skipped,
         file_names, marked_words, hash_sums, minhash_signatures, rehash_seed_2, lsh_buckets_of_documents, lsh_candidates, lsh_query, lsh_subset, lsh_add, lsh_compare, lsh_compare_prescored, lsh_probability_grid,
-        lsh_threshold_grid, token_index_of_documents, token_frequencies, token_index_candidates, text_classes, jaccard_pairs, pairwise_measures, matching_tokens_pairs, pairwise_benchmark, pairwise_candidates,
+        lsh_threshold_grid, token_index_of_documents, token_frequencies, token_index_candidates, token_index_candidates_all, token_index_partners, text_classes, jaccard_pairs, pairwise_measures, matching_tokens_pairs, pairwise_benchmark, pairwise_candidates,
         similarity_matrix, align_candidates,
     )
 }
@@ -317,6 +332,7 @@ def _buckets_sql(source: str, m: str = "m") -> str:
 _BUCKETS = f"{_SIGNED}, bk AS MATERIALIZED ({_buckets_sql('sg')})"
 _CANDIDATES = f"{_BUCKETS}, cd AS (SELECT DISTINCT x.doc AS a, y.doc AS b FROM bk x JOIN bk y ON x.buckets = y.buckets AND x.doc < y.doc)"
 _JOINED_HASHES = "JOIN hd x ON x.doc_id = a JOIN hd y ON y.doc_id = b"
+_FIVE = f"{_REPS}, rw AS (SELECT doc_id, {_words_sql()} AS w FROM reps), t AS (SELECT DISTINCT doc_id, unnest({_ngrams_sql('w', N)}) AS token FROM rw)"
 _J = "round(len(list_intersect(x.hashes, y.hashes)) / len(list_distinct(list_concat(x.hashes, y.hashes))), 9)"
 _PAIRS = f"""{_HASHED}, ht AS MATERIALIZED (SELECT doc_id, len(list_distinct(hashes)) AS n, unnest(list_distinct(hashes)) AS t FROM hd),
 pr AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) AS s FROM ht x JOIN ht y ON x.t = y.t AND x.doc_id < y.doc_id GROUP BY 1, 2
@@ -362,6 +378,8 @@ ORACLE = {
     "token_index_candidates": f"""WITH {_REPS}, rw AS (SELECT doc_id, {_words_sql()} AS w FROM reps), t AS (SELECT DISTINCT doc_id, unnest({_ngrams_sql('w', N)}) AS token FROM rw),
         k AS (SELECT token FROM t GROUP BY token HAVING count(*) BETWEEN 2 AND 10), p AS (SELECT * FROM t JOIN k USING (token))
         SELECT DISTINCT x.doc_id AS a, y.doc_id AS b, NULL::DOUBLE AS score FROM p x JOIN p y ON x.token = y.token AND x.doc_id < y.doc_id""",
+    "token_index_candidates_all": f"WITH {_FIVE} SELECT DISTINCT x.doc_id AS a, y.doc_id AS b, NULL::DOUBLE AS score FROM t x JOIN t y ON x.token = y.token AND x.doc_id < y.doc_id",
+    "token_index_partners": f"WITH {_FIVE} SELECT x.doc_id, count(DISTINCT y.doc_id) AS n_partners FROM t x JOIN t y ON x.token = y.token AND x.doc_id <> y.doc_id GROUP BY 1",
     "jaccard_pairs": f"WITH {_PAIRS} SELECT a, b, round(s, 9) AS score FROM pr",
     "pairwise_measures": f"""WITH {_PAIRS}, hc AS (SELECT doc_id, t, count(*) AS c FROM (SELECT doc_id, unnest(hashes) AS t FROM hd) GROUP BY 1, 2), hn AS (SELECT doc_id, len(hashes) AS n FROM hd),
         m AS (SELECT a, b, any_value(s) AS s, sum(least(x.c, y.c)) AS bag, sum(y.c) AS ab, sum(x.c) AS ba FROM pr JOIN hc x ON x.doc_id = a JOIN hc y ON y.doc_id = b AND x.t = y.t GROUP BY a, b)

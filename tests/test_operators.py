@@ -159,3 +159,21 @@ def test_salted_join(spark):
     for how, n in (("inner", 200 + 28), ("left", 239)):
         got = salted.salted_join_unique(left, right, "k", how)
         assert got.count() == n and got.where("w != k * 10").count() == 0
+
+
+def test_hot_tokens_make_candidates_and_partners(spark):
+    """A family of 40 documents whose only common token is in all of them, beside random ones; blocks and bit sets in use."""
+    import random
+
+    rng = random.Random(7)
+    docs = [(n, [1] * (n < 40) + [rng.randrange(1000, 1060) for _ in range(rng.randrange(0, 4))] + [10_000 + n]) for n in range(90)]
+    docs += [(90, []), (91, None), (92, [None, 1])]
+    sets = {i: set(t or []) - {None} for i, t in docs}
+    pairs = {(a, b) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    df = spark.createDataFrame(docs, "doc_id long, hashes array<bigint>")
+    got = I.token_index_candidates(I.token_postings(df, tokens="hashes"), each=7).collect()
+    assert len(got) == len(pairs) and {(r.a, r.b) for r in got} == pairs
+    want = {i: n for i in sets if (n := sum(i in p for p in pairs))}
+    for each, dense in ((1000, 256), (20, 3), (8, 0)):
+        assert {r.doc: r.n_partners for r in I.token_index_partners(df, each=each, dense=dense).collect()} == want
+    assert I.token_index_partners(df.limit(0)).count() == 0
