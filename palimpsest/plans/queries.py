@@ -235,16 +235,36 @@ def matching_tokens_pairs(spark, d):
     return P.compare(pairs, reps, lambda x, y: F.md5(F.array_join(S.matching_tokens(x, y), "|")), on="tokens").withColumnRenamed("score", "matching_md5")
 
 
-def pairwise_benchmark(spark, d):
-    """A stated query set, the benchmark's items, against all documents, by a directional measure."""
+def _items_and_docs(spark, d) -> DataFrame:
+    """Distinct hashes of the benchmark's items (ids ``i...``) and of the distinct texts (ids ``d...``)."""
     items = table(spark, d, "benchmark").select(F.concat(F.lit("i"), F.col("item_id").cast("string")).alias("doc_id"), "text")
     docs = representatives(spark, d).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), "text").unionByName(items)
     w = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= minimum_words(N))
-    h = written(w.select("doc_id", F.array_distinct(hash_tokens(shingle(F.col("w"), N))).alias("hashes")), "hashes")
-    rows = h.select("doc_id", F.size("hashes").alias("n"), F.explode("hashes").alias("t"))
+    return written(w.select("doc_id", F.array_distinct(hash_tokens(shingle(F.col("w"), N))).alias("hashes")), "hashes")
+
+
+def benchmark_overlap(spark, d):
+    """A stated query set, the benchmark's items, against all documents, by a directional measure: every pair with a common 5-gram."""
+    rows = _items_and_docs(spark, d).select("doc_id", F.size("hashes").alias("n"), F.explode("hashes").alias("t"))
     asked = rows.where("doc_id like 'i%'").select(F.col("doc_id").alias("item"), F.col("n").alias("n_item"), "t")
-    met = rows.where("doc_id like 'd%'").join(asked, "t").groupBy("item", "doc_id", "n_item").agg(F.count(F.lit(1)).alias("matches"))
-    return met.select(F.substring("item", 2, 20).cast("bigint").alias("item_id"), F.substring("doc_id", 2, 20).cast("bigint").alias("doc_id"), "matches", F.round(F.col("matches") / F.col("n_item"), 9).alias("ratio")).where("ratio >= 0.1")
+    # the items are a stated set whose size doesn't follow the documents
+    met = rows.where("doc_id like 'd%'").join(F.broadcast(asked), "t").groupBy("item", "doc_id", "n_item").agg(F.count(F.lit(1)).alias("matches"))
+    return met.select(F.substring("item", 2, 20).cast("bigint").alias("item_id"), F.substring("doc_id", 2, 20).cast("bigint").alias("doc_id"), "matches", F.round(F.col("matches") / F.col("n_item"), 9).alias("ratio"))
+
+
+def pairwise_benchmark(spark, d):
+    """The pairs of ``benchmark_overlap`` that hold a tenth of the item's 5-grams, as its SQL has it."""
+    return benchmark_overlap(spark, d).where("ratio >= 0.1")
+
+
+def pairwise_compare_items(spark, d):
+    """``pairwise_compare`` with a query set: every item against every document and other item, pairs without a match included.
+
+    The measure is the share of the item's 5-grams; on sets it is ``ratio_of_matches`` without its search of lists.
+    """
+    h = _items_and_docs(spark, d)
+    out = P.pairwise_compare(h, lambda x, y: F.size(F.array_intersect(x, y)) / F.size(x), queries=h.where("doc_id like 'i%'").select("doc_id"))
+    return out.select("a", "b", F.round("score", 9).alias("score"))
 
 
 def pairwise_candidates(spark, d):
@@ -269,7 +289,7 @@ QUERIES = {
     for f in (
         word_counts, tokenize_words, tokenize_words_cased, tokenize_ngrams_3, tokenize_ngrams_5, tokenize_skip_ngrams_3_2, tokenize_sentences, squished, short_docs_kept, short_docs_skipped, skip_ngram_skipped,
         file_names, marked_words, hash_sums, minhash_signatures, rehash_seed_2, lsh_buckets_of_documents, lsh_candidates, lsh_query, lsh_subset, lsh_add, lsh_compare, lsh_compare_prescored, lsh_probability_grid,
-        lsh_threshold_grid, token_index_of_documents, token_frequencies, token_index_candidates, token_index_candidates_all, token_index_partners, text_classes, jaccard_pairs, pairwise_measures, matching_tokens_pairs, pairwise_benchmark, pairwise_candidates,
+        lsh_threshold_grid, token_index_of_documents, token_frequencies, token_index_candidates, token_index_candidates_all, token_index_partners, text_classes, jaccard_pairs, pairwise_measures, matching_tokens_pairs, benchmark_overlap, pairwise_benchmark, pairwise_compare_items, pairwise_candidates,
         similarity_matrix, align_candidates,
     )
 }
@@ -333,6 +353,7 @@ _BUCKETS = f"{_SIGNED}, bk AS MATERIALIZED ({_buckets_sql('sg')})"
 _CANDIDATES = f"{_BUCKETS}, cd AS (SELECT DISTINCT x.doc AS a, y.doc AS b FROM bk x JOIN bk y ON x.buckets = y.buckets AND x.doc < y.doc)"
 _JOINED_HASHES = "JOIN hd x ON x.doc_id = a JOIN hd y ON y.doc_id = b"
 _FIVE = f"{_REPS}, rw AS (SELECT doc_id, {_words_sql()} AS w FROM reps), t AS (SELECT DISTINCT doc_id, unnest({_ngrams_sql('w', N)}) AS token FROM rw)"
+_ITEMS = f"bw AS (SELECT item_id, {_words_sql()} AS w FROM benchmark), bh AS (SELECT item_id, list_distinct({_hash_sql(_ngrams_sql('w', N))}) AS h FROM bw WHERE len(w) >= {minimum_words(N)})"
 _J = "round(len(list_intersect(x.hashes, y.hashes)) / len(list_distinct(list_concat(x.hashes, y.hashes))), 9)"
 _PAIRS = f"""{_HASHED}, ht AS MATERIALIZED (SELECT doc_id, len(list_distinct(hashes)) AS n, unnest(list_distinct(hashes)) AS t FROM hd),
 pr AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) AS s FROM ht x JOIN ht y ON x.t = y.t AND x.doc_id < y.doc_id GROUP BY 1, 2
@@ -387,6 +408,10 @@ ORACLE = {
         FROM m JOIN hn p ON p.doc_id = a JOIN hn q ON q.doc_id = b""",
     "matching_tokens_pairs": f"""WITH {_PAIRS}, tk AS (SELECT doc_id, {_ngrams_sql('w', N)} AS t FROM rw)
         SELECT a, b, md5(array_to_string(list_filter(y.t, lambda k: list_contains(x.t, k)), '|')) AS matching_md5 FROM pr JOIN tk x ON x.doc_id = a JOIN tk y ON y.doc_id = b""",
+    "benchmark_overlap": f"""WITH {_HASHED}, {_ITEMS}, bt AS (SELECT item_id, len(h) AS n, unnest(h) AS t FROM bh), dt AS (SELECT doc_id, unnest(list_distinct(hashes)) AS t FROM hd)
+        SELECT item_id, doc_id, count(*) AS matches, round(count(*) / any_value(n), 9) AS ratio FROM bt JOIN dt USING (t) GROUP BY 1, 2""",
+    "pairwise_compare_items": f"""WITH {_HASHED}, {_ITEMS}, al AS (SELECT 'i' || item_id AS id, h FROM bh UNION ALL SELECT 'd' || doc_id, list_distinct(hashes) FROM hd)
+        SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.h, y.h)) / len(x.h), 9) AS score FROM al x JOIN al y ON x.id <> y.id WHERE x.id LIKE 'i%'""",
     "pairwise_benchmark": f"""WITH {_HASHED}, bw AS (SELECT item_id, {_words_sql()} AS w FROM benchmark), bh AS (SELECT item_id, list_distinct({_hash_sql(_ngrams_sql('w', N))}) AS h FROM bw WHERE len(w) >= {minimum_words(N)}),
         bt AS (SELECT item_id, len(h) AS n, unnest(h) AS t FROM bh), dt AS (SELECT doc_id, unnest(list_distinct(hashes)) AS t FROM hd)
         SELECT item_id, doc_id, count(*) AS matches, round(count(*) / any_value(n), 9) AS ratio FROM bt JOIN dt USING (t) GROUP BY 1, 2 HAVING round(count(*) / any_value(n), 9) >= 0.1""",

@@ -59,3 +59,14 @@ def test_core_stands_alone():
     code = "import sys; sys.modules['palimpsest.llm'] = None; import __spark_entry__ as e; assert not [q for q in e.queries() if q.startswith(('p1_', 'p10_'))] and 'p7_found' in e.queries()"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], check=True, cwd=root)
+
+
+def test_overlap_keeps_short_passages(spark, tmp_path):
+    """12 words borrowed from an item of 300: 8 of its 296 5-grams, a ratio under 0.1."""
+    item = [f"word{n}" for n in range(300)]
+    rows = [(1, " ".join([f"own{n}" for n in range(40)] + item[100:112])), (2, " ".join(f"other{n}" for n in range(40)))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    q = registry.queries()
+    assert [tuple(r) for r in q["benchmark_overlap"](spark, str(tmp_path)).collect()] == [(7, 1, 8, round(8 / 296, 9))]
+    assert {tuple(r) for r in q["pairwise_compare_items"](spark, str(tmp_path)).collect()} == {("i7", "d1", round(8 / 296, 9)), ("i7", "d2", 0.0)}
