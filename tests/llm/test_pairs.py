@@ -119,6 +119,20 @@ def test_sets_of_frequent_tokens(spark, monkeypatch, cap):
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+def test_boilerplate_hides_no_pair(spark):
+    """A third of the sets hold the same 25 tokens; short ones lie inside long ones, at 0.4, with all of them."""
+    rng = np.random.default_rng(8)
+    common, more = [int(x) for x in rng.integers(0, 2**32, 25)], lambda n: [int(x) for x in rng.integers(0, 2**32, n)]
+    rows, planted = [], set()
+    for n in range(100):
+        own = more(15)
+        rows += [(f"a{n:03}", common + own), (f"b{n:03}", common + own + more(60))] + [(f"r{n:03}-{k}", more(40)) for k in range(4)]
+        planted.add((f"a{n:03}", f"b{n:03}"))
+    got, want = found(similar_set_pairs(spark.createDataFrame(rows, "doc_id string, hashes array<bigint>"))), jaccard(rows)
+    assert planted <= want and got <= want
+    assert len(planted - got) <= 1 and len(got) >= 0.999 * len(want)
+
+
 def test_frequent_tokens_and_radius(spark):
     df = spark.createDataFrame([([1, 2, i],) for i in range(10, 30)] + [([i],) for i in range(100, 120)], "v array<bigint>")
     top, n = frequent_tokens(df, "v", 0.2)
