@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import scratch_path, written
+from ..runtime import path_exists, scratch_path, written
 
 
 def batch_of(arrivals: DataFrame, doc: str = "doc", batch: str = "batch_no") -> DataFrame:
@@ -82,6 +82,9 @@ class BatchIndex:
     A segment is the sorted table ``(s, node)`` of a batch's symbols and their places. ``decide`` looks the symbols of one
     batch up in the segments and appends the accepted part as a segment of level 0; two segments of a level merge into
     one of the next, so a row is written again at most log2(batches) times.
+
+    An index that is opened on the path of another goes on from its history: after each batch a manifest
+    ``(number, level, segment)`` is written, whole, under the batch's number, and the last complete one is read.
     """
 
     schema = "s long, node long"
@@ -90,6 +93,12 @@ class BatchIndex:
         self.spark, self.path, self.least, self.cap = spark, path or scratch_path(spark, "batches"), least, cap
         self.levels: list[tuple[int, str]] = []
         self.number = 0
+        if path_exists(spark, f"{self.path}/manifest"):
+            done = spark.read.schema("number long, place int, level int, segment string").parquet(f"{self.path}/manifest/*")
+            last = done.agg(F.max("number")).first()[0]
+            if last is not None:
+                held = done.where(F.col("number") == last).orderBy("place").collect()
+                self.number, self.levels = last, [(r.level, f"{self.path}/{r.segment}") for r in held]
 
     def segments(self) -> int:
         return len(self.levels)
@@ -126,6 +135,12 @@ class BatchIndex:
         path = f"{self.path}/{self.number}-{level}"
         rows.repartition("s").sortWithinPartitions("s").write.mode("overwrite").option("compression", "zstd").parquet(path)
         self.levels.append((level, path))
+        self._note()
+
+    def _note(self) -> None:
+        rows = [(self.number, place, level, path.rpartition("/")[2]) for place, (level, path) in enumerate(self.levels)]
+        # one file, so that a manifest is there as a whole or not at all
+        self.spark.createDataFrame(rows, "number long, place int, level int, segment string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{self.number}")
 
 
 def rejected_records(buckets: DataFrame, arrivals: DataFrame, least: int = 3, cap: int = 256) -> DataFrame:

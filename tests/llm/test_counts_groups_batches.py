@@ -143,3 +143,16 @@ def test_batches(spark, cap):
 def test_no_batches(spark):
     b, a = spark.createDataFrame([], "doc string, buckets string"), spark.createDataFrame([], "doc string, batch_no int")
     assert rejected_records(b, a).count() == 0
+
+
+def test_reopened_index_keeps_its_history(spark, tmp_path):
+    """Each batch is decided by an index of its own on the same path."""
+    path = f"file://{tmp_path}/index"
+    rows = lambda *docs: spark.createDataFrame([(d, f"{k}{j}") for d, k in docs for j in range(4)], "doc string, buckets string")
+    batches = [(("a", "x"),), (("b", "y"), ("c", "x")), (("d", "x"), ("e", "y")), (("f", "z"),), (("g", "z"), ("h", "y"), ("i", "w"))]
+    got = []
+    for n, docs in enumerate(batches):
+        index = BatchIndex(spark, path)
+        assert index.number == n
+        got.append({r.doc for r in index.add(rows(*docs)).where("rejected").collect()})
+    assert got == [set(), {"c"}, {"d", "e"}, set(), {"g", "h"}]
