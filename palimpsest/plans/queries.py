@@ -189,6 +189,11 @@ def token_index_of_documents(spark, d):
     return out.select("token", "n_docs", F.md5(F.array_join(F.transform("docs", lambda x: x.cast("string")), ",")).alias("docs_md5"))
 
 
+def token_postings_of_documents(spark, d):
+    """The whole index, hot tokens too, as rows: no list is built."""
+    return I.token_postings(_three(spark, d)).select(F.md5("token").alias("token_md5"), F.col("doc").alias("doc_id"))
+
+
 def token_frequencies(spark, d):
     return I.token_counts(_three(spark, d), least=2)
 
@@ -289,7 +294,7 @@ QUERIES = {
     for f in (
         word_counts, tokenize_words, tokenize_words_cased, tokenize_ngrams_3, tokenize_ngrams_5, tokenize_skip_ngrams_3_2, tokenize_sentences, squished, short_docs_kept, short_docs_skipped, skip_ngram_skipped,
         file_names, marked_words, hash_sums, minhash_signatures, rehash_seed_2, lsh_buckets_of_documents, lsh_candidates, lsh_query, lsh_subset, lsh_add, lsh_compare, lsh_compare_prescored, lsh_probability_grid,
-        lsh_threshold_grid, token_index_of_documents, token_frequencies, token_index_candidates, token_index_candidates_all, token_index_partners, text_classes, jaccard_pairs, pairwise_measures, matching_tokens_pairs, benchmark_overlap, pairwise_benchmark, pairwise_compare_items, pairwise_candidates,
+        lsh_threshold_grid, token_index_of_documents, token_postings_of_documents, token_frequencies, token_index_candidates, token_index_candidates_all, token_index_partners, text_classes, jaccard_pairs, pairwise_measures, matching_tokens_pairs, benchmark_overlap, pairwise_benchmark, pairwise_compare_items, pairwise_candidates,
         similarity_matrix, align_candidates,
     )
 }
@@ -395,6 +400,8 @@ ORACLE = {
     "lsh_threshold_grid": "SELECT h::INTEGER AS h, b::INTEGER AS b, round(pow(1 / b, 1 / (h / b)), 9) AS t FROM (VALUES (200, 50), (240, 80), (100, 25)) v(h, b)",
     "token_index_of_documents": f"""WITH {_W}, t AS (SELECT DISTINCT doc_id, unnest({_ngrams_sql('w', 3)}) AS token FROM w)
         SELECT token, count(*) AS n_docs, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS docs_md5 FROM t GROUP BY token HAVING count(*) BETWEEN 2 AND 50""",
+    "token_postings_of_documents": f"""WITH {_W}, t AS (SELECT DISTINCT doc_id, unnest({_ngrams_sql('w', 3)}) AS token FROM w)
+        SELECT md5(token) AS token_md5, doc_id FROM t WHERE token IN (SELECT token FROM t GROUP BY token HAVING count(*) >= 2)""",
     "token_frequencies": f"WITH {_W}, t AS (SELECT DISTINCT doc_id, unnest({_ngrams_sql('w', 3)}) AS token FROM w) SELECT token, count(*) AS n_docs FROM t GROUP BY token HAVING count(*) >= 2",
     "token_index_candidates": f"""WITH {_REPS}, rw AS (SELECT doc_id, {_words_sql()} AS w FROM reps), t AS (SELECT DISTINCT doc_id, unnest({_ngrams_sql('w', N)}) AS token FROM rw),
         k AS (SELECT token FROM t GROUP BY token HAVING count(*) BETWEEN 2 AND 10), p AS (SELECT * FROM t JOIN k USING (token))

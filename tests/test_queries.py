@@ -70,3 +70,12 @@ def test_overlap_keeps_short_passages(spark, tmp_path):
     q = registry.queries()
     assert [tuple(r) for r in q["benchmark_overlap"](spark, str(tmp_path)).collect()] == [(7, 1, 8, round(8 / 296, 9))]
     assert {tuple(r) for r in q["pairwise_compare_items"](spark, str(tmp_path)).collect()} == {("i7", "d1", round(8 / 296, 9)), ("i7", "d2", 0.0)}
+
+
+def test_postings_of_hot_tokens(spark, tmp_path):
+    """A 3-gram in 60 documents, beyond the band of token_index_of_documents."""
+    rows = [(n, f"all have this own{n} other{n}") for n in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    q = registry.queries()
+    assert q["token_index_of_documents"](spark, str(tmp_path)).count() == 0
+    assert sorted(r.doc_id for r in q["token_postings_of_documents"](spark, str(tmp_path)).collect()) == list(range(60))
