@@ -132,7 +132,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
                 for _, p in hit:
                     bad[p : p + k] = True
                 at = _offsets(t)
-                if bad.mean() > whole or at is None:
+                if bad.mean() > whole:
                     texts.append(None)
                 else:
                     edge = np.flatnonzero(np.diff(np.r_[0, bad.astype(np.int8), 0]))
@@ -147,7 +147,11 @@ def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, text string, n_removed long")
 
 
-def _offsets(text: str) -> list[tuple[int, int]] | None:
-    """Spans of the words in the text itself; None if lower-casing changes its length (positions don't carry over)."""
+def _offsets(text: str) -> list[tuple[int, int]]:
+    """Spans in the text itself of the words of the lower-cased text, which can be longer (U+0130)."""
     low = text.lower()
-    return [m.span() for m in WORD.finditer(low)] if len(low) == len(text) else None
+    spans = [m.span() for m in WORD.finditer(low)]
+    if len(low) == len(text):
+        return spans
+    at = [i for i, c in enumerate(text) for _ in c.lower()]
+    return [(at[x], at[y - 1] + 1) for x, y in spans]

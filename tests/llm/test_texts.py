@@ -167,3 +167,13 @@ def test_boosting():
     cut = best_threshold(p, y[1500:])
     assert ((p > cut) == (y[1500:] > 0)).mean() > 0.97
     assert best_threshold(np.array([0.2]), np.array([0.0])) == 0.5
+
+
+def test_longer_lower_case_loses_only_the_span(spark):
+    from palimpsest.llm.leaks import without_leaks
+
+    item = " ".join(f"leak{n}" for n in range(12))
+    before, after = "\u0130stanbul " + " ".join(f"own{n}" for n in range(30)), " ".join(f"rest{n}" for n in range(30)) + " \u0130zmir"
+    docs = spark.createDataFrame([(1, f"{before} {item} {after}")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [tuple(r) for r in without_leaks(docs, items).collect()] == [(1, f"{before}  {after}", 12)]
