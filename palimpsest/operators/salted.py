@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import written
+
 SALT = "__salt"
 
 
@@ -47,39 +49,29 @@ def keyed_record_counts(
     references. Repeated rows count as often as they stand. An empty table gives no rows; other columns are
     ignored whatever their names.
 
-    Stage one groups by (key, salt), the salt taken from the element itself, so that the distinct elements of
-    different salts are disjoint and their counts add up exactly; keys that are not heavy use salt 0. Heavy
-    keys are found from the row counts, which Spark combines before its shuffle; there are at most
-    ``1 / share`` of them, so their broadcast is bounded whatever the size of the data.
+    A first scan of the keys alone counts rows, combined before its shuffle, and is written once; it names the keys
+    to salt, at most ``1 / share`` of them whatever the size of the data, so their broadcast is bounded. The
+    second scan gives all results by two stages. A row becomes its elements and one null that stands for the row
+    itself. Stage one groups by (key, salt, element), then by (key, salt); the salt comes from the element, so that the
+    distinct elements of different salts are disjoint and partial counts add up exactly; keys that are not heavy use
+    salt 0, and the nulls are combined before the shuffle. Stage two merges the partials by key.
     """
     rows = df.select(F.col(key).alias("k"), F.col(docs).alias("d")).where(F.col("k").isNotNull())
-    per_key = rows.groupBy("k").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum(F.coalesce(F.size(F.filter("d", lambda x: x.isNotNull())).cast("bigint"), F.lit(0))).alias("n_refs"),
-    )
-    total = per_key.agg(F.sum("n_rows").alias("total"))
-    heavy = (
-        per_key.join(F.broadcast(total), on=F.col("n_rows") > F.col("total") * F.lit(share))
-        .select(F.col("k").alias("hk"))
-    )
-    elements = rows.select("k", F.explode(F.array_distinct("d")).alias("e")).where(F.col("e").isNotNull())
-    salted = elements.join(F.broadcast(heavy), on=F.col("k") == F.col("hk"), how="left").select(
-        "k", "e", F.when(F.col("hk").isNotNull(), salt([F.col("e")], salts)).otherwise(F.lit(0)).alias(SALT)
-    )
-    # partial results per (key, salt), then one row a salt and key to merge
-    partial = salted.groupBy("k", SALT, "e").agg(F.lit(1).alias("one")).groupBy("k", SALT).agg(F.count("e").alias("n"))
-    merged = partial.groupBy("k").agg(F.sum("n").alias("n_records"))
-    return (
-        per_key.join(merged, "k", "left")
-        .join(F.broadcast(heavy), on=F.col("k") == F.col("hk"), how="left")
-        .select(
-            F.col("k").alias(key),
-            "n_rows",
-            "n_refs",
-            F.coalesce("n_records", F.lit(0).cast("bigint")).alias("n_records"),
-            F.col("hk").isNotNull().alias("heavy"),
-        )
+    sizes = written(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "key-counts")
+    line = (sizes.agg(F.sum("n")).first()[0] or 0) * share
+    heavy = sizes.where(F.col("n") > line).select(F.col("k").alias("hk"))
+    flagged = rows.join(F.broadcast(heavy), F.col("k") == F.col("hk"), "left")
+    parts = F.concat(F.array(F.lit(None).cast(rows.schema["d"].dataType.elementType)), F.coalesce(F.filter("d", lambda x: x.isNotNull()), F.array().cast(rows.schema["d"].dataType)))
+    elements = flagged.select("k", "hk", F.explode(parts).alias("e"))
+    salted = elements.select("k", "e", F.when(F.col("hk").isNotNull(), salt([F.col("e")], salts)).otherwise(F.lit(0)).alias(SALT))
+    found = salted.groupBy("k", SALT, "e").agg(F.count(F.lit(1)).alias("n"))
+    partial = found.groupBy("k", SALT).agg(
+        F.coalesce(F.sum(F.when(F.col("e").isNull(), F.col("n"))), F.lit(0)).alias("n_rows"),
+        F.coalesce(F.sum(F.when(F.col("e").isNotNull(), F.col("n"))), F.lit(0)).alias("n_refs"),
+        F.count("e").alias("n_records"),
     )
+    merged = partial.groupBy("k").agg(*[F.sum(c).alias(c) for c in ("n_rows", "n_refs", "n_records")])
+    return merged.select(F.col("k").alias(key), "n_rows", "n_refs", "n_records", (F.col("n_rows") > line).alias("heavy"))
 
 
 def salted_join_unique(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", heavy_share: float = 0.02, salts: int = 32) -> DataFrame:

@@ -153,6 +153,13 @@ def test_salted_counts(spark):
     assert len(got) == 51 and salted.keyed_record_counts(df.limit(0), "token", "docs").count() == 0
 
 
+def test_heavy_keys_come_out_of_the_salted_stages(spark, sf):
+    from palimpsest.plans.skew import p7_found
+
+    plan = p7_found(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "__salt" in plan and "explode" in plan and "docs" in plan and plan.count("token_index.parquet") == 1
+
+
 def test_salted_join(spark):
     left = spark.createDataFrame([(1, i) for i in range(200)] + [(i, i) for i in range(2, 40)] + [(None, 7)], "k int, v int")
     right = spark.createDataFrame([(i, i * 10) for i in range(1, 30)], "k int, w int")
