@@ -3,17 +3,21 @@
 A record is rejected if it shares at least ``least`` distinct buckets with one accepted record of an earlier
 batch; records of one batch are not compared with each other.
 
-Immutable segments, one for each batch, hold the sorted bucket symbols of its accepted records with their
-places, and ``BatchIndex`` merges segments of equal level, so their number grows with the logarithm of the
-batches. The suffix arrays of the method's general form order whole suffixes, which find long contiguous matches;
-here a match is any three common buckets, contiguous or not, and a bucket is already a match unit. A suffix array of
-such a text, cut after one symbol, is the sorted symbol table used here, and its search is the sorted lookup of Spark's
-merge join. Coverage is aggregated per pair of records.
-
-Hot buckets: records with the same buckets in the same batch share their fate and are one node. A node leaves out
-its ``least - 1`` most frequent buckets when it looks for partners (two nodes with ``least`` common buckets still
-meet under another). A bucket that is held by more than ``cap`` nodes even so is replaced by sets of ``least``
-buckets that contain it: nodes that meet under such a set are matched without forming pairs.
+Immutable suffix arrays, one for each batch. The text of a batch is the buckets of its accepted records, one after the
+other; the substrings that are looked for are whole buckets. So the suffixes that begin with a bucket are kept, ordered
+to the length of a bucket: more of them is never compared. A suffix array is cut into ranges of buckets (shards), which
+``bucketBy`` keeps in files of their own: a lookup goes to its shard, where the batch's buckets are searched by
+bisection; the history doesn't move, and shards that no bucket of the batch falls into aren't read. What is
+found is summed to the coverage of each pair of records. Arrays of equal level merge, so their number
+grows with the logarithm of the batches.
+
+Buckets are compared by 124 bits of their fingerprints, records with the same buckets in the same batch share their fate
+and are one node, named by 128 bits of its content.
+
+Hot buckets: a bucket of more than ``cap`` nodes of an array is marked in it and its nodes stand apart, in order of the
+scan. Pairs that meet under other buckets but not often enough are completed by the nodes' hot buckets; pairs that
+have hot ones only meet under sets of ``least`` of them, of which equal ones are one row. No list of a hot
+bucket is ever gathered, and nothing is left out.
 
 Defined cases: null records, buckets and batches are left out, a record's batch is its smallest; records that are
 in no arrival take no part; repeated rows count once; empty tables give no rows; extra columns are ignored.
@@ -21,10 +25,21 @@ in no arrival take no part; repeated rows count once; empty tables give no rows;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import path_exists, scratch_path, written
+from ..runtime import delete_path, parallelism, path_exists, scratch_path, written
+from .pairs import binary, capped, local_heavy, matrix
+
+NODE = 16
+MARK = b"\0" * NODE
+EACH = 2_000_000  # suffixes of a shard
 
 
 def batch_of(arrivals: DataFrame, doc: str = "doc", batch: str = "batch_no") -> DataFrame:
@@ -32,94 +47,204 @@ def batch_of(arrivals: DataFrame, doc: str = "doc", batch: str = "batch_no") ->
 
 
 def nodes_of(buckets: DataFrame, batches: DataFrame, doc: str = "doc", bucket: str = "buckets") -> DataFrame:
-    """``(doc, batch, node, s)``: the record's distinct bucket symbols, sorted, and the name of its node."""
-    rows = buckets.select(F.col(doc).alias("doc"), F.xxhash64(bucket).alias("s"), F.col(bucket).isNotNull().alias("there")).where("doc is not null and there")
+    """``(doc, batch, node, s)``: the record's distinct buckets, sorted, and the name of its node."""
+    b = F.col(bucket).cast("string")
+    rows = buckets.select(F.col(doc).alias("doc"), F.struct(F.xxhash64(b).alias("hi"), F.conv(F.substring(F.md5(b), 1, 15), 16, 10).cast("bigint").alias("lo")).alias("s"), b.isNotNull().alias("there")).where("doc is not null and there")
     sets = rows.groupBy("doc").agg(F.array_sort(F.collect_set("s")).alias("s"))
-    return sets.join(batches, "doc").withColumn("node", F.xxhash64("batch", "s"))
+    text = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["hi"], x["lo"])), ",")
+    return sets.join(batches, "doc").withColumn("node", F.unhex(F.md5(F.concat_ws("|", "batch", text))))
 
 
-def match_rows(rows: DataFrame, least: int = 3, cap: int = 256) -> DataFrame:
-    """``(node)``: new nodes that share at least ``least`` symbols with one old node.
+def _suffixes(nodes: DataFrame) -> DataFrame:
+    return nodes.select("node", F.explode("s").alias("x")).select(F.col("x.hi").alias("hi"), F.col("x.lo").alias("lo"), "node")
 
-    ``rows`` are distinct ``(node, new, s)``: the symbols of the new nodes, and those of old nodes that some new one holds.
-    """
-    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.max("new").alias("some_new"), F.min("new").alias("all_new")).where("some_new and not all_new").select("s", "df")
-    # one row for each node with the symbols that both sides hold, the rarest first
-    shared = written(
-        rows.join(often, "s").groupBy("node", "new").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("k")).where(F.size("k") >= least),
-        "shared",
-    )
-    front = shared.select("node", "new", "k", F.explode(F.slice("k", F.lit(1), F.size("k") - (least - 1))).alias("p"))
-    rare = front.where(F.col("p.df") <= cap).select("node", "new", F.col("p.s").alias("s"))
-    pairs = rare.where("not new").select("s", F.col("node").alias("old")).join(rare.where("new").select("s", "node"), "s").select("old", "node").distinct()
-    symbols = shared.select("node", F.col("k.s").alias("s"))
-    near = (
-        pairs.join(symbols.select(F.col("node").alias("old"), F.col("s").alias("x")), "old")
-        .join(symbols.select("node", F.col("s").alias("y")), "node")
-        .where(F.size(F.array_intersect("x", "y")) >= least)
-        .select("node")
-    )
-    hot_front = front.where(F.col("p.df") > cap)
-    if hot_front.isEmpty():
-        return near.distinct()
-    others = F.transform(F.filter("k", lambda x: x["s"] != F.col("p.s")), lambda x: x["s"])
-    with_others = hot_front.select("node", "new", F.col("p.s").alias("h"), others.alias("o"))
-    # all sets of `least` symbols with h: the other members are taken in index order
-    chosen = F.transform("o", lambda x, i: F.struct(i.alias("i"), F.array(x).alias("m")))
-    for _ in range(least - 2):
-        grown = lambda c: F.flatten(
-            F.transform(c, lambda t: F.transform(F.filter(F.transform("o", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda y: y["i"] > t["i"]), lambda y: F.struct(y["i"].alias("i"), F.concat(t["m"], F.array(y["x"])).alias("m"))))
+
+class Segment:
+    """An immutable suffix array: the table ``(hot, shard, seq, symbols, checks, nodes)``, a row for a block of suffixes in order."""
+
+    schema = "hot boolean, shard int, seq int, symbols binary, checks binary, nodes binary"
+
+    def __init__(self, spark: SparkSession, path: str, shards: int, n_hot: int | None = None):
+        self.spark, self.path, self.shards, self.n_hot = spark, path, shards, n_hot
+        self.name = f"suffixes_{uuid.uuid4().hex}"
+        # a shard is named by a number that bucketBy puts into the bucket of the shard
+        ids = spark.range(24 * shards).select(F.col("id").cast("int").alias("id")).select("id", F.pmod(F.hash("id"), F.lit(shards)).alias("b")).groupBy("b").agg(F.min("id").alias("id"))
+        found = {r.b: r.id for r in ids.collect()}
+        self.labels = [found.get(b, min(found.values())) for b in range(shards)]
+        self.there = False
+
+    def shard(self) -> Column:
+        """Shards are ranges of ``hi`` of equal width."""
+        at = F.floor((F.col("hi") / F.lit(2.0**64) + F.lit(0.5)) * F.lit(self.shards)).cast("int")
+        return F.element_at(self._named(), F.least(F.greatest(at, F.lit(0)), F.lit(self.shards - 1)) + 1)
+
+    def _named(self) -> Column:
+        return F.array(*[F.lit(x) for x in self.labels])
+
+    def write(self, suffixes: DataFrame, cap: int, many: np.ndarray) -> None:
+        """``suffixes`` are distinct ``(hi, lo, node)``. Buckets whose hi is one of ``many`` are hot beforehand."""
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seq = 0
+            for t, big in capped(batches, ["spread", "shard", "hi", "lo"], cap):
+                spread, shard, hi, lo = (t[c].to_numpy() for c in ("spread", "shard", "hi", "lo"))
+                node = matrix(t["node"], np.uint8)
+                key = shard * 2 + spread
+                for k in np.unique(key):
+                    at = np.flatnonzero(key == k)
+                    hot = big or bool(k % 2)
+                    blocks = [(hot, hi[at], lo[at], node[at])]
+                    if big and not k % 2:
+                        first = at[np.r_[True, (hi[at][1:] != hi[at][:-1]) | (lo[at][1:] != lo[at][:-1])]]
+                        blocks.append((False, hi[first], lo[first], np.zeros((len(first), NODE), np.uint8)))
+                    for flag, x, y, z in blocks:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([flag]), pa.array([k // 2], pa.int32()), pa.array([seq], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary()), pa.array([z.tobytes()], pa.binary())],
+                            names=["hot", "shard", "seq", "symbols", "checks", "nodes"],
+                        )
+                        seq += 1
+
+        placed = suffixes.select(F.lit(0).cast("bigint").alias("spread"), self.shard().cast("bigint").alias("shard"), "hi", "lo", "node")
+        if len(many):
+            # the nodes of the hottest buckets go to all shards by turns, and a mark to the bucket's own
+            known = F.col("hi").isin([int(x) for x in many.view(np.int64)])
+            turn = F.element_at(self._named(), F.pmod(F.xxhash64("node"), F.lit(self.shards)).cast("int") + 1).cast("bigint")
+            marks = placed.where(known).select("spread", "shard", "hi", "lo").distinct().withColumn("node", F.lit(MARK))
+            placed = placed.where(~known).unionByName(marks).unionByName(placed.where(known).withColumns({"spread": F.lit(1).cast("bigint"), "shard": turn}))
+        blocks = placed.repartition(self.shards, F.col("shard").cast("int")).sortWithinPartitions("spread", "shard", "hi", "lo", "node").mapInArrow(pack, self.schema)
+        blocks.write.bucketBy(self.shards, "shard").mode("overwrite").option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
+        self.there = True
+        self.n_hot = self.rows(True).select("hi", "lo").distinct().count()
+
+    def table(self) -> DataFrame:
+        if not self.there:
+            self.spark.sql(f"CREATE TABLE {self.name} ({self.schema}) USING parquet CLUSTERED BY (shard) INTO {self.shards} BUCKETS LOCATION '{self.path}'")
+            self.there = True
+        return self.spark.table(self.name)
+
+    def rows(self, hot: bool) -> DataFrame:
+        """``(hi, lo, node)`` of the hot buckets or of the others."""
+
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for sym, chk, node in zip(b.column("symbols"), b.column("checks"), b.column("nodes")):
+                    hi, lo, n = np.frombuffer(sym.as_py(), np.int64), np.frombuffer(chk.as_py(), np.int64), np.frombuffer(node.as_py(), np.uint8).reshape(-1, NODE)
+                    real = n.any(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(hi[real]), pa.array(lo[real]), binary(n[real])], names=["hi", "lo", "node"])
+
+        return self.table().where(F.col("hot") == hot).select("symbols", "checks", "nodes").mapInArrow(unpack, "hi long, lo long, node binary")
+
+    def search(self, suffixes: DataFrame, few: bool) -> DataFrame:
+        """``(new, old, hi, lo)``: for every bucket of the batch the old nodes that have it; ``old`` is null for a hot bucket."""
+        asked = suffixes.withColumn("shard", self.shard())
+        held = self.table().where("not hot")
+        if few:
+            touched = [r[0] for r in asked.select("shard").distinct().collect()]
+            held = held.where(F.col("shard").isin(touched)) if len(touched) < self.shards else held
+        schema = pa.schema([("new", pa.binary()), ("old", pa.binary()), ("hi", pa.int64()), ("lo", pa.int64())])
+
+        def find(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows or not right.num_rows:
+                return schema.empty_table()
+            blocks = right.sort_by("seq")
+            sym, chk = (np.frombuffer(b"".join(blocks[c].to_pylist()), np.int64) for c in ("symbols", "checks"))
+            node = np.frombuffer(b"".join(blocks["nodes"].to_pylist()), np.uint8).reshape(-1, NODE)
+            if (sym[1:] < sym[:-1]).any():  # the mark of a hot bucket may stand behind its neighbours of a block
+                order = np.argsort(sym, kind="stable")
+                sym, chk, node = sym[order], chk[order], node[order]
+            hi, lo = left["hi"].to_numpy(), left["lo"].to_numpy()
+            begin, end = np.searchsorted(sym, hi, "left"), np.searchsorted(sym, hi, "right")
+            n = end - begin
+            who = np.repeat(np.arange(len(hi)), n)
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+            same = chk[at] == lo[who]
+            who, at = who[same], at[same]
+            hot = ~node[at].any(axis=1)
+            old = pc.if_else(pa.array(hot), pa.scalar(None, pa.binary()), binary(node[at])) if len(at) else pa.array([], pa.binary())
+            return pa.table([left["node"].take(pa.array(who)), old, pa.array(hi[who]), pa.array(lo[who])], schema=schema)
+
+        return asked.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(find, "new binary, old binary, hi long, lo long")
+
+    def drop(self, files: bool = False) -> None:
+        if self.there:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+            self.there = False
+        if files:
+            delete_path(self.spark, self.path)
+
+
+def _sets(column: str, least: int) -> Column:
+    """All sets of ``least`` members of an array, in order, as arrays of arrays."""
+    grown = F.transform(column, lambda x, i: F.struct(i.alias("i"), F.array(x).alias("m")))
+    for _ in range(least - 1):
+        grown = F.flatten(
+            F.transform(grown, lambda t: F.transform(F.filter(F.transform(column, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda y: y["i"] > t["i"]), lambda y: F.struct(y["i"].alias("i"), F.concat(t["m"], F.array(y["x"])).alias("m"))))
         )
-        chosen = grown(chosen)
-    sets = with_others.select("node", "new", "h", F.explode(chosen).alias("c")).select("node", "new", F.xxhash64(F.array_sort(F.concat(F.array("h"), F.col("c.m")))).alias("hot"))
-    by_set = sets.where("new").select("hot", "node").join(sets.where("not new").select("hot").distinct(), "hot", "left_semi").select("node")
-    return near.unionByName(by_set).distinct()
+    return F.transform(grown, lambda t: t["m"])
 
 
 class BatchIndex:
     """Accepted history as immutable segments, so that a new batch is checked without reprocessing it.
 
-    A segment is the sorted table ``(s, node)`` of a batch's symbols and their places. ``decide`` looks the symbols of one
-    batch up in the segments and appends the accepted part as a segment of level 0; two segments of a level merge into
-    one of the next, so a row is written again at most log2(batches) times.
+    ``decide`` searches one batch's buckets in the segments and appends the accepted part as a segment of level 0; two
+    segments of a level merge into one of the next, so a row is written again at most log2(batches) times.
 
     An index that is opened on the path of another goes on from its history: after each batch a manifest
-    ``(number, level, segment)`` is written, whole, under the batch's number, and the last complete one is read.
+    ``(number, place, level, segment, shards, n_hot)`` is written, whole, under the batch's number, and the last complete
+    one is read.
     """
 
-    schema = "s long, node long"
-
-    def __init__(self, spark: SparkSession, path: str | None = None, least: int = 3, cap: int = 256):
-        self.spark, self.path, self.least, self.cap = spark, path or scratch_path(spark, "batches"), least, cap
-        self.levels: list[tuple[int, str]] = []
+    def __init__(self, spark: SparkSession, path: str | None = None, least: int = 3, cap: int = 256, each: int = EACH):
+        self.spark, self.path, self.least, self.cap, self.each = spark, path or scratch_path(spark, "batches"), least, cap, each
+        self.levels: list[tuple[int, Segment]] = []
         self.number = 0
         if path_exists(spark, f"{self.path}/manifest"):
-            done = spark.read.schema("number long, place int, level int, segment string").parquet(f"{self.path}/manifest/*")
+            done = spark.read.schema("number long, place int, level int, segment string, shards int, n_hot long").parquet(f"{self.path}/manifest/*")
             last = done.agg(F.max("number")).first()[0]
             if last is not None:
-                held = done.where(F.col("number") == last).orderBy("place").collect()
-                self.number, self.levels = last, [(r.level, f"{self.path}/{r.segment}") for r in held]
+                held = done.where((F.col("number") == last) & (F.col("place") >= 0)).orderBy("place").collect()
+                self.number, self.levels = last, [(r.level, Segment(spark, f"{self.path}/{r.segment}", r.shards, r.n_hot)) for r in held]
 
     def segments(self) -> int:
         return len(self.levels)
 
-    def decide(self, nodes: DataFrame) -> DataFrame:
+    def decide(self, nodes: DataFrame, append: bool = True) -> DataFrame:
         """``(node)``: the rejected of a batch's distinct nodes ``(node, s)``; the others are appended."""
         self.number += 1
-        mine = nodes.select("node", F.explode("s").alias("s"))
+        n = nodes.agg(F.sum(F.size("s"))).first()[0] or 0
         path = f"{self.path}/rejected/{self.number}"
-        if self.levels:
-            past = self.spark.read.schema(self.schema).parquet(*[p for _, p in self.levels])
-            # of the history, only the rows of symbols that the batch holds take part
-            touched = past.join(mine.select("s").distinct(), "s", "left_semi")
-            gone = match_rows(mine.withColumn("new", F.lit(True)).unionByName(touched.withColumn("new", F.lit(False))), self.least, self.cap)
-        else:
-            gone = nodes.select("node").limit(0)
+        gone = self._matched(nodes, n) if self.levels and n else nodes.select("node").limit(0)
         gone.write.mode("overwrite").parquet(path)
-        gone = self.spark.read.schema("node long").parquet(path)
-        self._append(mine.join(gone, "node", "left_anti").select("s", "node"))
+        gone = self.spark.read.schema("node binary").parquet(path)
+        if append:
+            self._append(_suffixes(nodes.join(gone, "node", "left_anti")), n)
         return gone
 
+    def _matched(self, nodes: DataFrame, n: int) -> DataFrame:
+        suffixes = _suffixes(nodes)
+        found = None
+        for number, (_, segment) in enumerate(self.levels):
+            one = segment.search(suffixes, n < 4 * segment.shards).withColumn("g", F.lit(number))
+            found = one if found is None else found.unionByName(one)
+        found = written(found, "found")
+        pairs = found.where("old is not null").groupBy("g", "new", "old").agg(F.count(F.lit(1)).cast("int").alias("n"))
+        gone = pairs.where(F.col("n") >= self.least).select("new")
+        hot = [(g, s) for g, (_, s) in enumerate(self.levels) if s.n_hot]
+        if hot:
+            symbol = F.struct("hi", "lo")
+            mine = found.where("old is null").groupBy("g", "new").agg(F.collect_set(symbol).alias("h"))
+            open_ = pairs.where(F.col("n") < self.least).join(mine, ["g", "new"]).where(F.col("n") + F.size("h") >= self.least)
+            for g, segment in hot:
+                here = open_.where(F.col("g") == g).select("new", "old", "n", F.explode("h").alias("x")).select("new", "old", "n", "x.hi", "x.lo")
+                met = here.join(segment.rows(True).withColumnRenamed("node", "old"), ["old", "hi", "lo"]).groupBy("new", "old").agg((F.first("n") + F.count(F.lit(1))).alias("n"))
+                gone = gone.unionByName(met.where(F.col("n") >= self.least).select("new"))
+                if segment.n_hot >= self.least:
+                    theirs = segment.rows(True).groupBy("node").agg(F.array_sort(F.collect_set(symbol)).alias("h")).where(F.size("h") >= self.least).select("h").distinct()
+                    sets = theirs.select(F.explode(_sets("h", self.least)).alias("k")).distinct()
+                    asked = mine.where((F.col("g") == g) & (F.size("h") >= self.least)).select("new", F.array_sort("h").alias("h")).select("new", F.explode(_sets("h", self.least)).alias("k"))
+                    gone = gone.unionByName(asked.join(sets, "k", "left_semi").select("new"))
+        return gone.distinct().withColumnRenamed("new", "node")
+
     def add(self, batch: DataFrame, doc: str = "doc", bucket: str = "buckets") -> DataFrame:
         """``(doc, rejected)`` of the records of the batch."""
         docs = batch.select(F.col(doc).alias("doc")).where("doc is not null").distinct().withColumn("batch", F.lit(self.number + 1).cast("long"))
@@ -127,35 +252,52 @@ class BatchIndex:
         gone = self.decide(mine.groupBy("node").agg(F.any_value("s").alias("s")))
         return mine.join(gone.withColumn("rejected", F.lit(True)), "node", "left").select("doc", F.coalesce("rejected", F.lit(False)).alias("rejected"))
 
-    def _append(self, rows: DataFrame) -> None:
-        level = 0
+    def _append(self, rows: DataFrame, n: int) -> None:
+        level, merged = 0, []
         while self.levels and self.levels[-1][0] == level:
-            rows = rows.unionByName(self.spark.read.schema(self.schema).parquet(self.levels.pop()[1]))
+            old = self.levels.pop()[1]
+            merged.append(old)
+            rows = rows.unionByName(old.rows(False)).unionByName(old.rows(True))
+            n += old.shards * self.each
             level += 1
-        path = f"{self.path}/{self.number}-{level}"
-        rows.repartition("s").sortWithinPartitions("s").write.mode("overwrite").option("compression", "zstd").parquet(path)
-        self.levels.append((level, path))
+        shards = max(parallelism(self.spark), -(-n // self.each))
+        segment = Segment(self.spark, f"{self.path}/{self.number}-{level}", shards)
+        # only of a long array can one bucket fill a task; then the hottest ones (a bounded list) are known before the shuffle
+        many = local_heavy(rows, ["hi"], lambda b: b.column("hi").to_numpy(zero_copy_only=False).view(np.uint64)[:, None], 0.005) if n > 16 * self.each else np.empty(0, np.uint64)
+        segment.write(rows, self.cap, many)
+        self.levels.append((level, segment))
         self._note()
+        for old in merged:
+            old.drop()
 
     def _note(self) -> None:
-        rows = [(self.number, place, level, path.rpartition("/")[2]) for place, (level, path) in enumerate(self.levels)]
+        rows = [(self.number, place, level, s.path.rpartition("/")[2], s.shards, s.n_hot) for place, (level, s) in enumerate(self.levels)]
         # one file, so that a manifest is there as a whole or not at all
-        self.spark.createDataFrame(rows, "number long, place int, level int, segment string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{self.number}")
+        self.spark.createDataFrame(rows, "number long, place int, level int, segment string, shards int, n_hot long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{self.number}")
+
+    def close(self, files: bool = False) -> None:
+        """Take the segments out of the session's catalog; the stored history stays unless ``files``."""
+        for _, segment in self.levels:
+            segment.drop(files)
 
 
 def rejected_records(buckets: DataFrame, arrivals: DataFrame, least: int = 3, cap: int = 256) -> DataFrame:
     """``(doc)``: the records rejected when all batches go through a ``BatchIndex`` in ascending order."""
     spark = buckets.sparkSession
-    path = scratch_path(spark, "nodes")
+    path, by_node = scratch_path(spark, "nodes"), scratch_path(spark, "sets")
     nodes = nodes_of(buckets, batch_of(arrivals))
     nodes.write.partitionBy("batch").option("compression", "zstd").parquet(path)
     found = spark.read.schema(nodes.schema).parquet(path)
+    sets = found.groupBy("batch", "node").agg(F.any_value("s").alias("s"))
+    sets.write.partitionBy("batch").option("compression", "zstd").parquet(by_node)
+    sets = spark.read.schema(sets.schema).parquet(by_node)
     # one value for each batch, not for each record
-    batches = sorted(r[0] for r in found.select("batch").distinct().collect())
+    batches = sorted(r[0] for r in sets.select("batch").distinct().collect())
     index, gone = BatchIndex(spark, least=least, cap=cap), None
     for batch in batches:
-        now = index.decide(found.where(F.col("batch") == batch).groupBy("node").agg(F.any_value("s").alias("s")))
+        now = index.decide(sets.where(F.col("batch") == batch).select("node", "s"), append=batch != batches[-1])
         gone = now if gone is None else gone.unionByName(now)
+    index.close(files=True)
     if gone is None:
         return found.select("doc").limit(0)
     return found.join(gone, "node", "left_semi").select("doc")

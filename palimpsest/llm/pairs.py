@@ -119,6 +119,52 @@ def _bounds(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
 
 
+def capped(batches: Iterator[pa.RecordBatch], keys: list[str], cap: int) -> Iterator[tuple[pa.Table, bool]]:
+    """Whole groups of rows that come sorted by ``keys`` (BIGINT), with False, and the rows of groups over ``cap``, with True.
+
+    No more than a batch and ``cap`` rows are held, however large a group is.
+    """
+    held, over = None, None
+
+    def cut(t: pa.Table) -> Iterator[tuple[pa.Table, bool]]:
+        at = _edges_of(t, keys)
+        big = np.repeat(np.diff(at) > cap, np.diff(at))
+        for mask, flag in ((~big, False), (big, True)):
+            if mask.any():
+                yield (t if mask.all() else t.filter(pa.array(mask))), flag
+
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        if over is not None and t.num_rows:
+            same = np.logical_and.reduce([t[k].to_numpy() == v for k, v in zip(keys, over)])
+            n = t.num_rows if same.all() else int(np.argmin(same))
+            if n:
+                yield t.slice(0, n), True
+                t = t.slice(n)
+        if not t.num_rows:
+            continue
+        over = None
+        t = t if held is None else pa.concat_tables([held, t])
+        last = int(_edges_of(t, keys)[-2])
+        held = t.slice(last)
+        if last:
+            yield from cut(t.slice(0, last))
+        if held.num_rows > cap:
+            over = [held[k][0].as_py() for k in keys]
+            yield held, True
+            held = None
+    if held is not None:
+        yield from cut(held)
+
+
+def _edges_of(t: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.zeros(t.num_rows - 1, bool)
+    for k in keys:
+        v = t[k].to_numpy()
+        new |= v[1:] != v[:-1]
+    return np.r_[0, np.flatnonzero(new) + 1, t.num_rows]
+
+
 def _pair_batch(a: np.ndarray, b: np.ndarray, key: np.ndarray | None = None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.zeros(len(a), np.int64) if key is None else key)], names=["a", "b", "key"])
 
