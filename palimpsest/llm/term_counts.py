@@ -1,39 +1,72 @@
 """Problem 3: how often every term occurs, in how many records, and which terms are of no use.
 
-Incremental signed deltas. ``TermCounts`` keeps two persistent tables in a folder that all executors share:
-postings ``(token, doc, n)``, one immutable part for each delta, and counts ``(token, n_rows, n_records)``,
-partitioned by a hash of the token. ``apply`` takes only added, changed or deleted rows (a change is a deletion
-of the old row and an addition of the new one), aggregates them to signed changes, looks up the earlier
-postings of just the pairs it touches, and merges the changes into the counts. The first delta needs no lookup.
+Incremental signed deltas. ``TermCounts`` keeps postings ``(token, doc, n)`` and counts ``(token, n_rows, n_records)`` in
+a folder that all executors share, both as immutable parts. ``apply`` takes only added, changed or deleted rows (a change
+is a deletion of the old row and an addition of the new one) and aggregates them to signed changes. Whether a pair of
+token and record appears or disappears depends on its earlier postings; they lie in buckets by record, and only the
+buckets that hold a record of the delta are read. The changes become a new part: nothing stored is rewritten for it.
+Parts of equal level merge, so their number grows with the logarithm of the deltas. A delta is there when its
+manifest is: parts that no manifest names, from a driver that was lost, are ignored.
 
 A token is folded by trimming and lower-casing; null and empty ones are left out. Records are the distinct
 non-null elements of ``docs``; a null or empty ``docs`` is a row without records. Repeated rows each count as
-rows. An empty delta changes nothing. Extra columns are ignored.
+rows. A row taken away before it was added is owed: the balance is kept, and the term appears once it is positive. An
+empty delta changes nothing. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokens import fold_token
-from ..runtime import delete_path, path_exists, scratch_path
+from ..runtime import delete_path, parallelism, path_exists, scratch_path
 
+POSTING = "token string, doc string, n bigint"
+COUNT = "token string, n_rows bigint, n_records bigint"
 
 
 class TermCounts:
-    """Counts of terms in ``path`` (default: the session's shared folder), brought up to date by deltas."""
-
-    buckets = 16
+    """Counts of terms in ``path`` (default: the session's shared folder), brought up to date by deltas.
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or scratch_path(spark, "term-counts")
-        self.parts = 0
-        while path_exists(spark, f"{self.path}/postings/{self.parts}/_SUCCESS"):
-            self.parts += 1
+    The number of buckets follows the first delta (``each`` postings a bucket) and stays.
+    """
 
-    def _postings(self) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.path}/postings/{i}" for i in range(self.parts)])
+    def __init__(self, spark: SparkSession, path: str | None = None, each: int = 1_000_000):
+        self.spark, self.path, self.each = spark, path or scratch_path(spark, "term-counts"), each
+        self.number, self.buckets, self.levels = 0, 0, []
+        if path_exists(spark, f"{self.path}/manifest"):
+            done = spark.read.schema("number long, buckets int, place int, level int, part string").parquet(f"{self.path}/manifest/*")
+            last = done.agg(F.max("number")).first()[0]
+            if last is not None:
+                held = done.where(F.col("number") == last).orderBy("place").collect()
+                self.number, self.buckets = last, held[0].buckets
+                self.levels = [(r.level, r.part) for r in held]
+
+    def parts(self) -> int:
+        return len(self.levels)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("doc"), F.lit(self.buckets)).cast("int")
+
+    def _read(self, kind: str, parts: list[str], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{kind}/{p}" for p in parts])
+
+    def _postings(self, parts: list[str]) -> DataFrame:
+        # the folders of buckets are read one part at a time, as each part has its own root
+        one = [self.spark.read.schema(POSTING + ", bucket int").parquet(f"{self.path}/postings/{p}") for p in parts]
+        out = one[0]
+        for x in one[1:]:
+            out = out.unionByName(x)
+        return out
+
+    def _write_postings(self, df: DataFrame, part: str) -> DataFrame:
+        # a bucket that one record fills is split by the rebalancing
+        placed = df.withColumn("bucket", self._bucket()).hint("rebalance", "bucket")
+        placed.write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/postings/{part}")
+        return self._postings([part])
 
     def apply(self, delta: DataFrame, token: str = "token", docs: str = "docs", sign: str | None = None) -> None:
         """Merge the rows of ``delta``: sign 1 (or no sign column) adds a row, -1 takes one away."""
@@ -41,45 +74,58 @@ class TermCounts:
         rows = delta.select(fold_token(F.col(token)).alias("token"), F.col(docs).alias("docs"), s.alias("s")).where("token is not null and token != ''")
         change = (
             rows.select("token", "s", F.explode(F.array_distinct(F.filter("docs", lambda d: d.isNotNull()))).alias("doc"))
-            .groupBy("token", "doc")
+            .groupBy("token", F.col("doc").cast("string").alias("doc"))
             .agg(F.sum("s").alias("n"))
             .where("n != 0")
         )
-        number = self.parts
-        part = f"{self.path}/postings/{number}"
-        change.write.mode("overwrite").option("compression", "zstd").parquet(part)
-        new = self.spark.read.parquet(part)
-        if number:
-            before = self._postings().join(new.select("token", "doc"), ["token", "doc"], "left_semi").groupBy("token", "doc").agg(F.sum("n").alias("had"))
-            crossed = new.join(before, ["token", "doc"], "left").select(
-                "token",
-                (F.when(F.coalesce("had", F.lit(0)) + F.col("n") > 0, 1).otherwise(0) - F.when(F.coalesce("had", F.lit(0)) > 0, 1).otherwise(0)).cast("bigint").alias("d"),
-            )
+        part = f"{self.number + 1}-{uuid.uuid4().hex[:8]}"
+        if not self.buckets:
+            first = f"{self.path}/postings/first-{part}"
+            change.write.option("compression", "zstd").parquet(first)
+            change = self.spark.read.schema(POSTING).parquet(first)
+            self.buckets = max(parallelism(self.spark), -(-change.count() // self.each))
+        new = self._write_postings(change, part)
+        if self.levels:
+            touched = [r[0] for r in new.select("bucket").distinct().collect()]
+            before = self._postings([p for _, p in self.levels]).where(F.col("bucket").isin(touched))
+            had = before.join(new.select("token", "doc", "bucket"), ["token", "doc", "bucket"], "left_semi").groupBy("token", "doc").agg(F.sum("n").alias("had"))
+            both = new.join(had, ["token", "doc"], "left").select("token", F.coalesce("had", F.lit(0)).alias("had"), "n")
         else:
-            crossed = new.select("token", F.when(F.col("n") > 0, 1).otherwise(0).cast("bigint").alias("d"))
-        moved = (
-            rows.select("token", F.col("s").alias("n_rows"), F.lit(0).cast("bigint").alias("n_records"))
-            .groupBy("token").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_records").alias("n_records"))
-            .unionByName(crossed.groupBy("token").agg(F.lit(0).cast("bigint").alias("n_rows"), F.sum("d").alias("n_records")))
-        )
-        if number:
-            moved = moved.unionByName(self.counts())
-        merged = (
-            moved.groupBy("token").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_records").alias("n_records"))
-            .where("n_rows > 0 or n_records > 0")
-            .withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(self.buckets)).cast("int"))
-        )
-        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/counts/{number}")
-        self.parts = number + 1
-        if number:
-            delete_path(self.spark, f"{self.path}/counts/{number - 1}")
+            both = new.select("token", F.lit(0).cast("bigint").alias("had"), "n")
+        there = lambda c: F.when(c > 0, 1).otherwise(0).cast("bigint")
+        records = both.groupBy("token").agg(F.lit(0).cast("bigint").alias("n_rows"), F.sum(there(F.col("had") + F.col("n")) - there(F.col("had"))).alias("n_records"))
+        moved = rows.groupBy("token").agg(F.sum("s").alias("n_rows"), F.lit(0).cast("bigint").alias("n_records")).unionByName(records)
+        self._summed(moved).write.option("compression", "zstd").parquet(f"{self.path}/counts/{part}")
+        self._merge(part)
+
+    def _summed(self, counts: DataFrame) -> DataFrame:
+        return counts.groupBy("token").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_records").alias("n_records")).where("n_rows != 0 or n_records != 0")
+
+    def _merge(self, part: str) -> None:
+        """Take a new part in; parts of its level become one of the next. Then the manifest, then the old parts go."""
+        level, gone = 0, []
+        while self.levels and self.levels[-1][0] == level:
+            gone.append(self.levels.pop()[1])
+            level += 1
+        self.number += 1
+        if gone:
+            old, part = [*gone, part], f"{part}-{level}"
+            self._write_postings(self._postings(old).groupBy("token", "doc").agg(F.sum("n").alias("n")).where("n != 0"), part)
+            self._summed(self._read("counts", old, COUNT)).write.option("compression", "zstd").parquet(f"{self.path}/counts/{part}")
+            gone = old
+        self.levels.append((level, part))
+        rows = [(self.number, self.buckets, place, lv, p) for place, (lv, p) in enumerate(self.levels)]
+        # one file, so that a manifest is there as a whole or not at all
+        self.spark.createDataFrame(rows, "number long, buckets int, place int, level int, part string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{self.number}")
+        for p in gone:
+            delete_path(self.spark, f"{self.path}/postings/{p}")
+            delete_path(self.spark, f"{self.path}/counts/{p}")
 
     def counts(self) -> DataFrame:
-        """``(token, n_rows, n_records)`` as of the last delta."""
-        schema = "token string, n_rows bigint, n_records bigint"
-        if not self.parts:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema + ", bucket int").parquet(f"{self.path}/counts/{self.parts - 1}").select("token", "n_rows", "n_records")
+        """``(token, n_rows, n_records)`` as of the last delta: the sum of the parts, for terms that have rows."""
+        if not self.levels:
+            return self.spark.createDataFrame([], COUNT)
+        return self._summed(self._read("counts", [p for _, p in self.levels], COUNT)).where("n_rows > 0")
 
 
 def mark_terms(counts: DataFrame, n_docs: DataFrame, rare: int = 3, common: float = 0.2) -> DataFrame:

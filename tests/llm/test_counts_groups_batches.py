@@ -49,6 +49,38 @@ def test_deltas_equal_a_full_count(spark):
     assert state(c) == {}
 
 
+def test_deletion_before_addition(spark):
+    frame = lambda *r: spark.createDataFrame(list(r), "token string, docs array<string>, s int")
+    c = TermCounts(spark)
+    c.apply(frame(("x", ["a"], -1), ("y", ["a"], 1)), sign="s")
+    assert state(c) == {"y": (1, 1)}
+    c.apply(frame(("x", ["a"], 1)), sign="s")
+    assert state(c) == {"y": (1, 1)}
+    c.apply(frame(("x", ["a"], 1)), sign="s")
+    assert state(c) == {"y": (1, 1), "x": (1, 1)}
+
+
+def test_a_lost_driver_leaves_the_last_whole_state(spark):
+    frame = lambda *r: spark.createDataFrame(list(r), "token string, docs array<string>")
+    c = TermCounts(spark)
+    c.apply(frame(("x", ["a"])))
+    lost = TermCounts(spark, c.path)
+    lost._merge = lambda part: None  # the parts are written, the manifest isn't
+    lost.apply(frame(("x", ["b"]), ("z", ["b"])))
+    again = TermCounts(spark, c.path)
+    assert state(again) == {"x": (1, 1)}
+    again.apply(frame(("x", ["b"])))
+    assert state(again) == {"x": (2, 2)}
+
+
+def test_parts_grow_with_the_logarithm_and_a_delta_reads_its_buckets(spark):
+    c = TermCounts(spark, each=5)
+    for n in range(9):
+        c.apply(spark.createDataFrame([(f"t{k}", [f"d{n}-{k}"]) for k in range(40 if n == 0 else 1)], "token string, docs array<string>"))
+        assert c.parts() <= 4
+    assert c.buckets == 8 and state(c)["t0"] == (9, 9) and len(state(c)) == 40
+
+
 def test_marks(spark):
     counts = spark.createDataFrame([("none", 1, 0), ("two", 9, 2), ("three", 9, 3), ("edge", 9, 4), ("over", 9, 5)], "token string, n_rows long, n_records long")
     n = spark.createDataFrame([(20,)], "n long")
