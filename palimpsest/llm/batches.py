@@ -8,10 +8,10 @@ other; the substrings that are looked for are whole buckets. So the suffixes tha
 to the length of a bucket: more of them is never compared. A suffix array is cut into ranges of buckets (shards), which
 ``bucketBy`` keeps in files of their own: a lookup goes to its shard, where the batch's buckets are searched by
 bisection; the history doesn't move, and shards that no bucket of the batch falls into aren't read. What is
-found is summed to the coverage of each pair of records. Arrays of equal level merge, so their number
-grows with the logarithm of the batches.
+found is summed to the coverage of each pair of records. Arrays merge with later ones that are as
+large, so their number grows with the logarithm of the history.
 
-Buckets are compared by 124 bits of their fingerprints, records with the same buckets in the same batch share their fate
+Buckets are compared by 128 bits of their fingerprints, records with the same buckets in the same batch share their fate
 and are one node, named by 128 bits of its content.
 
 Hot buckets: a bucket of more than ``cap`` nodes of an array is marked in it and its nodes stand apart, in order of the
@@ -34,12 +34,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import delete_path, parallelism, path_exists, scratch_path, written
+from ..runtime import delete_path, path_exists, scratch_path, written
 from .pairs import binary, capped, local_heavy, matrix
 
 NODE = 16
 MARK = b"\0" * NODE
-EACH = 2_000_000  # suffixes of a shard
+EACH = 500_000  # suffixes of a shard
 
 
 def batch_of(arrivals: DataFrame, doc: str = "doc", batch: str = "batch_no") -> DataFrame:
@@ -49,10 +49,10 @@ def batch_of(arrivals: DataFrame, doc: str = "doc", batch: str = "batch_no") ->
 def nodes_of(buckets: DataFrame, batches: DataFrame, doc: str = "doc", bucket: str = "buckets") -> DataFrame:
     """``(doc, batch, node, s)``: the record's distinct buckets, sorted, and the name of its node."""
     b = F.col(bucket).cast("string")
-    rows = buckets.select(F.col(doc).alias("doc"), F.struct(F.xxhash64(b).alias("hi"), F.conv(F.substring(F.md5(b), 1, 15), 16, 10).cast("bigint").alias("lo")).alias("s"), b.isNotNull().alias("there")).where("doc is not null and there")
+    rows = buckets.select(F.col(doc).alias("doc"), F.struct(F.xxhash64(b).alias("hi"), F.xxhash64(F.lit(1), b).alias("lo")).alias("s"), b.isNotNull().alias("there")).where("doc is not null and there")
     sets = rows.groupBy("doc").agg(F.array_sort(F.collect_set("s")).alias("s"))
-    text = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["hi"], x["lo"])), ",")
-    return sets.join(batches, "doc").withColumn("node", F.unhex(F.md5(F.concat_ws("|", "batch", text))))
+    half = lambda seed: F.unhex(F.lpad(F.hex(F.xxhash64(F.lit(seed), "batch", "s")), 16, "0"))
+    return sets.join(batches, "doc").withColumn("node", F.concat(half(1), half(2)))
 
 
 def _suffixes(nodes: DataFrame) -> DataFrame:
@@ -60,9 +60,12 @@ def _suffixes(nodes: DataFrame) -> DataFrame:
 
 
 class Segment:
-    """An immutable suffix array: the table ``(hot, shard, seq, symbols, checks, nodes)``, a row for a block of suffixes in order."""
+    """An immutable suffix array: the table ``(hot, shard, seq, marks, symbols, checks, nodes)``, a row for a block of suffixes in order.
 
-    schema = "hot boolean, shard int, seq int, symbols binary, checks binary, nodes binary"
+    ``marks`` is how many hot buckets a block marks; one that stands in several blocks of the scan is marked by each.
+    """
+
+    schema = "hot boolean, shard int, seq int, marks int, symbols binary, checks binary, nodes binary"
 
     def __init__(self, spark: SparkSession, path: str, shards: int, n_hot: int | None = None):
         self.spark, self.path, self.shards, self.n_hot = spark, path, shards, n_hot
@@ -99,8 +102,8 @@ class Segment:
                         blocks.append((False, hi[first], lo[first], np.zeros((len(first), NODE), np.uint8)))
                     for flag, x, y, z in blocks:
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([flag]), pa.array([k // 2], pa.int32()), pa.array([seq], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary()), pa.array([z.tobytes()], pa.binary())],
-                            names=["hot", "shard", "seq", "symbols", "checks", "nodes"],
+                            [pa.array([flag]), pa.array([k // 2], pa.int32()), pa.array([seq], pa.int32()), pa.array([0 if flag or z.any() else len(x)], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary()), pa.array([z.tobytes()], pa.binary())],
+                            names=["hot", "shard", "seq", "marks", "symbols", "checks", "nodes"],
                         )
                         seq += 1
 
@@ -114,7 +117,8 @@ class Segment:
         blocks = placed.repartition(self.shards, F.col("shard").cast("int")).sortWithinPartitions("spread", "shard", "hi", "lo", "node").mapInArrow(pack, self.schema)
         blocks.write.bucketBy(self.shards, "shard").mode("overwrite").option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
         self.there = True
-        self.n_hot = self.rows(True).select("hi", "lo").distinct().count()
+        # never fewer than there are
+        self.n_hot = (self.table().agg(F.sum("marks")).first()[0] or 0) + len(many)
 
     def table(self) -> DataFrame:
         if not self.there:
@@ -122,8 +126,8 @@ class Segment:
             self.there = True
         return self.spark.table(self.name)
 
-    def rows(self, hot: bool) -> DataFrame:
-        """``(hi, lo, node)`` of the hot buckets or of the others."""
+    def rows(self, only_hot: bool = False) -> DataFrame:
+        """``(hi, lo, node)`` of all buckets or of the hot ones."""
 
         def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -132,7 +136,8 @@ class Segment:
                     real = n.any(axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(hi[real]), pa.array(lo[real]), binary(n[real])], names=["hi", "lo", "node"])
 
-        return self.table().where(F.col("hot") == hot).select("symbols", "checks", "nodes").mapInArrow(unpack, "hi long, lo long, node binary")
+        held = self.table()
+        return (held.where("hot") if only_hot else held).select("symbols", "checks", "nodes").mapInArrow(unpack, "hi long, lo long, node binary")
 
     def search(self, suffixes: DataFrame, few: bool) -> DataFrame:
         """``(new, old, hi, lo)``: for every bucket of the batch the old nodes that have it; ``old`` is null for a hot bucket."""
@@ -186,11 +191,12 @@ def _sets(column: str, least: int) -> Column:
 class BatchIndex:
     """Accepted history as immutable segments, so that a new batch is checked without reprocessing it.
 
-    ``decide`` searches one batch's buckets in the segments and appends the accepted part as a segment of level 0; two
-    segments of a level merge into one of the next, so a row is written again at most log2(batches) times.
+    ``decide`` searches one batch's buckets in the segments and appends the accepted part as a segment, after it has
+    taken in the segments that are no larger than it. So the segments' sizes fall, their number grows with the logarithm
+    of the history, and a row is written again only when its segment at least doubles.
 
     An index that is opened on the path of another goes on from its history: after each batch a manifest
-    ``(number, place, level, segment, shards, n_hot)`` is written, whole, under the batch's number, and the last complete
+    ``(number, place, size, segment, shards, n_hot)`` is written, whole, under the batch's number, and the last complete
     one is read.
     """
 
@@ -199,19 +205,19 @@ class BatchIndex:
         self.levels: list[tuple[int, Segment]] = []
         self.number = 0
         if path_exists(spark, f"{self.path}/manifest"):
-            done = spark.read.schema("number long, place int, level int, segment string, shards int, n_hot long").parquet(f"{self.path}/manifest/*")
+            done = spark.read.schema("number long, place int, size long, segment string, shards int, n_hot long").parquet(f"{self.path}/manifest/*")
             last = done.agg(F.max("number")).first()[0]
             if last is not None:
                 held = done.where((F.col("number") == last) & (F.col("place") >= 0)).orderBy("place").collect()
-                self.number, self.levels = last, [(r.level, Segment(spark, f"{self.path}/{r.segment}", r.shards, r.n_hot)) for r in held]
+                self.number, self.levels = last, [(r.size, Segment(spark, f"{self.path}/{r.segment}", r.shards, r.n_hot)) for r in held]
 
     def segments(self) -> int:
         return len(self.levels)
 
-    def decide(self, nodes: DataFrame, append: bool = True) -> DataFrame:
-        """``(node)``: the rejected of a batch's distinct nodes ``(node, s)``; the others are appended."""
+    def decide(self, nodes: DataFrame, append: bool = True, n: int | None = None) -> DataFrame:
+        """``(node)``: the rejected of a batch's distinct nodes ``(node, s)`` with ``n`` buckets; the others are appended."""
         self.number += 1
-        n = nodes.agg(F.sum(F.size("s"))).first()[0] or 0
+        n = nodes.agg(F.sum(F.size("s"))).first()[0] or 0 if n is None else n
         path = f"{self.path}/rejected/{self.number}"
         gone = self._matched(nodes, n) if self.levels and n else nodes.select("node").limit(0)
         gone.write.mode("overwrite").parquet(path)
@@ -236,10 +242,10 @@ class BatchIndex:
             open_ = pairs.where(F.col("n") < self.least).join(mine, ["g", "new"]).where(F.col("n") + F.size("h") >= self.least)
             for g, segment in hot:
                 here = open_.where(F.col("g") == g).select("new", "old", "n", F.explode("h").alias("x")).select("new", "old", "n", "x.hi", "x.lo")
-                met = here.join(segment.rows(True).withColumnRenamed("node", "old"), ["old", "hi", "lo"]).groupBy("new", "old").agg((F.first("n") + F.count(F.lit(1))).alias("n"))
+                met = here.join(segment.rows(only_hot=True).withColumnRenamed("node", "old"), ["old", "hi", "lo"]).groupBy("new", "old").agg((F.first("n") + F.count(F.lit(1))).alias("n"))
                 gone = gone.unionByName(met.where(F.col("n") >= self.least).select("new"))
                 if segment.n_hot >= self.least:
-                    theirs = segment.rows(True).groupBy("node").agg(F.array_sort(F.collect_set(symbol)).alias("h")).where(F.size("h") >= self.least).select("h").distinct()
+                    theirs = segment.rows(only_hot=True).groupBy("node").agg(F.array_sort(F.collect_set(symbol)).alias("h")).where(F.size("h") >= self.least).select("h").distinct()
                     sets = theirs.select(F.explode(_sets("h", self.least)).alias("k")).distinct()
                     asked = mine.where((F.col("g") == g) & (F.size("h") >= self.least)).select("new", F.array_sort("h").alias("h")).select("new", F.explode(_sets("h", self.least)).alias("k"))
                     gone = gone.unionByName(asked.join(sets, "k", "left_semi").select("new"))
@@ -253,27 +259,25 @@ class BatchIndex:
         return mine.join(gone.withColumn("rejected", F.lit(True)), "node", "left").select("doc", F.coalesce("rejected", F.lit(False)).alias("rejected"))
 
     def _append(self, rows: DataFrame, n: int) -> None:
-        level, merged = 0, []
-        while self.levels and self.levels[-1][0] == level:
-            old = self.levels.pop()[1]
+        merged = []
+        while self.levels and self.levels[-1][0] <= n:
+            held, old = self.levels.pop()
             merged.append(old)
-            rows = rows.unionByName(old.rows(False)).unionByName(old.rows(True))
-            n += old.shards * self.each
-            level += 1
-        shards = max(parallelism(self.spark), -(-n // self.each))
-        segment = Segment(self.spark, f"{self.path}/{self.number}-{level}", shards)
+            rows = rows.unionByName(old.rows())
+            n += held
+        segment = Segment(self.spark, f"{self.path}/{self.number}", max(1, -(-n // self.each)))
         # only of a long array can one bucket fill a task; then the hottest ones (a bounded list) are known before the shuffle
         many = local_heavy(rows, ["hi"], lambda b: b.column("hi").to_numpy(zero_copy_only=False).view(np.uint64)[:, None], 0.005) if n > 16 * self.each else np.empty(0, np.uint64)
         segment.write(rows, self.cap, many)
-        self.levels.append((level, segment))
+        self.levels.append((n, segment))
         self._note()
         for old in merged:
             old.drop()
 
     def _note(self) -> None:
-        rows = [(self.number, place, level, s.path.rpartition("/")[2], s.shards, s.n_hot) for place, (level, s) in enumerate(self.levels)]
+        rows = [(self.number, place, size, s.path.rpartition("/")[2], s.shards, s.n_hot) for place, (size, s) in enumerate(self.levels)]
         # one file, so that a manifest is there as a whole or not at all
-        self.spark.createDataFrame(rows, "number long, place int, level int, segment string, shards int, n_hot long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{self.number}")
+        self.spark.createDataFrame(rows, "number long, place int, size long, segment string, shards int, n_hot long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{self.number}")
 
     def close(self, files: bool = False) -> None:
         """Take the segments out of the session's catalog; the stored history stays unless ``files``."""
@@ -292,10 +296,10 @@ def rejected_records(buckets: DataFrame, arrivals: DataFrame, least: int = 3, ca
     sets.write.partitionBy("batch").option("compression", "zstd").parquet(by_node)
     sets = spark.read.schema(sets.schema).parquet(by_node)
     # one value for each batch, not for each record
-    batches = sorted(r[0] for r in sets.select("batch").distinct().collect())
+    batches = sorted(map(tuple, sets.groupBy("batch").agg(F.sum(F.size("s"))).collect()))
     index, gone = BatchIndex(spark, least=least, cap=cap), None
-    for batch in batches:
-        now = index.decide(sets.where(F.col("batch") == batch).select("node", "s"), append=batch != batches[-1])
+    for batch, n in batches:
+        now = index.decide(sets.where(F.col("batch") == batch).select("node", "s"), batch != batches[-1][0], n)
         gone = now if gone is None else gone.unionByName(now)
     index.close(files=True)
     if gone is None:
