@@ -4,11 +4,13 @@ The steps are shared by the two similarity joins. Records are first reduced to c
 that copies never multiply the keys. Every class gives a fixed number of 64-bit keys; classes that meet under
 a key are candidates. Three guards keep hot keys from making hot tasks:
 
-1. Keys that are frequent inside the batches of the scan (``local_heavy``) are known before the shuffle.
-   Classes that have such a key send refined keys (the key and more of the record) in its place.
-2. A group larger than ``cap`` that shows up only after the shuffle sends its members back as ``(key, rid)``
-   rows, which are refined in the same way.
-3. Refined rows carry a sketch, and a pair of theirs leaves the task only when the sketches allow it.
+1. Keys that hold a large share of all classes (``local_heavy``) are known before the shuffle; there is a
+   fixed number of them at most. Classes that have such a key send refined keys (the key and more of the record) in
+   its place.
+2. After the shuffle the keys come sorted, and a task holds no more than ``cap`` rows of one. A group larger than
+   that sends its members back as ``(key, rid)`` rows while it streams by; they are refined in the same way.
+3. Refined rows carry a sketch, and a pair of theirs leaves the task only when the sketches allow it. Groups of
+   refined rows are cut into blocks of ``BLOCK``, and a task gets the rows of two blocks.
 
 Nothing is dropped: a refinement is chosen so that every pair sought still meets.
 """
@@ -22,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import parts_for
+from ..runtime import parts_for, written
 
 HEAVY_LEAST = 64
+BLOCK = 1024
 NONE = np.uint64(0)  # a key that a record doesn't have
 
 
@@ -47,20 +50,24 @@ def binary(rows: np.ndarray) -> pa.Array:
 
 
 def local_heavy(reps: DataFrame, columns: list[str], keyer: Callable[[pa.RecordBatch], np.ndarray], share: float) -> np.ndarray:
-    """Keys held by more than ``share`` of the rows of some batch (and at least HEAVY_LEAST rows), sorted.
+    """Keys held by about ``share`` of all rows or more (and at least HEAVY_LEAST rows), sorted.
 
-    A key over ``share`` of all rows is over it in some batch. A batch names at most keys-per-row / share
-    keys, and so does the whole in expectation: the list does not grow with the data.
+    A batch names the keys of half the share of its own rows, and counts are added over all batches; a key that has
+    the share of all rows has it by the batches that name it. Only keys with half the share of all rows by these
+    counts are kept, so there are at most keys-per-row * 2 / share of them, however the rows are ordered.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = keyer(b)
             u, c = np.unique(keys.ravel(), return_counts=True)
-            hot = u[(c >= max(HEAVY_LEAST, share * len(keys))) & (u != NONE)]
-            yield pa.RecordBatch.from_arrays([pa.array(hot.view(np.int64))], names=["key"])
+            hot = (c >= max(2, share / 2 * len(keys))) & (u != NONE)
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[u[hot].view(np.int64), 0]), pa.array(np.r_[c[hot], 0]), pa.array(np.r_[np.zeros(hot.sum(), np.int64), len(keys)])], names=["key", "c", "n"])
 
-    found = reps.select(*columns).mapInArrow(count, "key long").distinct().toPandas()["key"].to_numpy(dtype=np.int64)
+    named = reps.select(*columns).mapInArrow(count, "key long, c long, n long").groupBy("key").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    named = written(named, "frequent")
+    total = named.agg(F.sum("n")).first()[0] or 0
+    found = named.where((F.col("c") >= max(HEAVY_LEAST, share / 2 * total)) & (F.col("key") != 0)).select("key").toPandas()["key"].to_numpy(dtype=np.int64)
     return np.sort(found.view(np.uint64))
 
 
@@ -110,11 +117,6 @@ def _refined(b: pa.RecordBatch, refine, r: np.ndarray, c: np.ndarray) -> Iterato
         )
 
 
-def _table(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    got = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(got) if got else None
-
-
 def _bounds(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
 
@@ -170,38 +172,31 @@ def _pair_batch(a: np.ndarray, b: np.ndarray, key: np.ndarray | None = None) ->
 
 
 def meet(keys: DataFrame, cap: int, parts: int) -> DataFrame:
-    """Pairs ``(a, b)`` of rids that share a key; members of groups over ``cap`` come as ``(rid, -1, key)``.
-
-    A task sorts the keys it holds; the hottest keys have been taken out before, so none fills a task.
-    """
+    """Pairs ``(a, b)`` of rids that share a key; members of groups over ``cap`` come as ``(rid, -1, key)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _table(batches)
-        if t is None:
-            return
-        key, rid = t["key"].to_numpy(), t["rid"].to_numpy()
-        order = np.argsort(key, kind="stable")
-        key, rid = key[order], rid[order]
-        at = _bounds(key)
-        size = np.diff(at)
-        for s in np.unique(size):
-            if s < 2:
+        for t, big in capped(batches, ["key"], cap):
+            key, rid = t["key"].to_numpy(), t["rid"].to_numpy()
+            if big:
+                yield _pair_batch(rid, np.full(len(rid), -1, np.int64), key)
                 continue
-            starts = at[:-1][size == s]
-            if s > cap:
-                ix = (starts[:, None] + np.arange(s)[None]).ravel()
-                yield _pair_batch(rid[ix], np.full(len(ix), -1, np.int64), key[ix])
-                continue
-            i, j = np.triu_indices(s, 1)
-            step = max(1, 2_000_000 // len(i))
-            for lo in range(0, len(starts), step):
-                g = rid[starts[lo : lo + step, None] + np.arange(s)[None]]
-                a, b = g[:, i].ravel(), g[:, j].ravel()
-                u = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if s > 8 else np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
-                u = u[u[:, 0] != u[:, 1]]
-                yield _pair_batch(u[:, 0], u[:, 1])
-
-    return keys.repartition(parts, "key").mapInArrow(run, "a long, b long, key long")
+            at = _bounds(key)
+            size = np.diff(at)
+            for s in np.unique(size):
+                if s < 2:
+                    continue
+                starts = at[:-1][size == s]
+                i, j = np.triu_indices(s, 1)
+                step = max(1, 2_000_000 // len(i))
+                for lo in range(0, len(starts), step):
+                    g = rid[starts[lo : lo + step, None] + np.arange(s)[None]]
+                    a, b = g[:, i].ravel(), g[:, j].ravel()
+                    u = np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
+                    u = np.unique(u, axis=0) if s > 8 else u
+                    u = u[u[:, 0] != u[:, 1]]
+                    yield _pair_batch(u[:, 0], u[:, 1])
+
+    return keys.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, key long")
 
 
 def refine_big(big: DataFrame, reps: DataFrame, columns: list[str], keyer, refine) -> DataFrame:
@@ -217,35 +212,42 @@ def refine_big(big: DataFrame, reps: DataFrame, columns: list[str], keyer, refin
     return rows.mapInArrow(run, "key long, rid long, sketch binary")
 
 
-def meet_sketched(keys: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """Pairs of refined rows that share a key and whose sketches pass ``near``, in blocks."""
+def meet_sketched(keys: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Pairs of refined rows that share a key and whose sketches pass ``near``.
+
+    A group of more than BLOCK rows is cut into blocks by a hash of the record, and every two blocks meet in a tile of
+    their own. Tiles are spread by their names, so a large group is the work of many tasks.
+    """
+    keys = write(keys, "refined")
+    blocks = keys.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks")).where("blocks > 1")
+    sized = keys.join(blocks, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    mine = sized.withColumn("i", F.pmod(F.xxhash64("rid", F.lit(5)), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiled = mine.select("key", "rid", "sketch", F.col("i").cast("bigint").alias("i"), (F.least("i", "j") * F.lit(1 << 31) + F.greatest("i", "j")).cast("bigint").alias("tile"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _table(batches)
-        if t is None:
-            return
-        key, rid = t["key"].to_numpy(), t["rid"].to_numpy()
-        sketch = matrix(t["sketch"], np.uint8)
-        order = np.lexsort((rid, key))
-        key, rid, sketch = key[order], rid[order], sketch[order]
-        at = _bounds(key)
-        for lo, hi in zip(at[:-1], at[1:]):
-            for x in range(lo, hi, 512):
-                xs = np.arange(x, min(x + 512, hi))
-                for y in range(x, hi, 512):
-                    ys = np.arange(y, min(y + 512, hi))
-                    i, j = np.meshgrid(xs, ys, indexing="ij")
-                    i, j = i.ravel(), j.ravel()
-                    keep = i < j
-                    i, j = i[keep], j[keep]
-                    keep = (rid[i] != rid[j])
-                    i, j = i[keep], j[keep]
-                    keep = near(sketch[i], sketch[j])
-                    i, j = i[keep], j[keep]
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays([pa.array(rid[i]), pa.array(rid[j])], names=["a", "b"])
-
-    return keys.repartition("key").mapInArrow(run, "a long, b long")
+        # a tile has about two blocks; what is larger by chance still comes as a whole
+        for t, _ in capped(batches, ["key", "tile"], 1 << 40):
+            key, tile, side, rid = (t[c].to_numpy() for c in ("key", "tile", "i", "rid"))
+            sketch = matrix(t["sketch"], np.uint8)
+            at = np.r_[0, np.flatnonzero((key[1:] != key[:-1]) | (tile[1:] != tile[:-1])) + 1, len(key)]
+            for lo, hi in zip(at[:-1], at[1:]):
+                if hi - lo < 2:
+                    continue
+                inner = tile[lo] >> 31 == tile[lo] & 0x7FFFFFFF
+                x = np.arange(lo, hi) if inner else lo + np.flatnonzero(side[lo:hi] == side[lo:hi].min())
+                y = x if inner else lo + np.flatnonzero(side[lo:hi] != side[lo:hi].min())
+                for p in range(0, len(x), 512):
+                    for q in range(p if inner else 0, len(y), 512):
+                        i, j = np.meshgrid(x[p : p + 512], y[q : q + 512], indexing="ij")
+                        i, j = i.ravel(), j.ravel()
+                        keep = rid[i] < rid[j] if inner and p == q else rid[i] != rid[j]
+                        i, j = i[keep], j[keep]
+                        keep = near(sketch[i], sketch[j])
+                        i, j = i[keep], j[keep]
+                        if len(i):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rid[i], rid[j])), pa.array(np.maximum(rid[i], rid[j]))], names=["a", "b"])
+
+    return tiled.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(run, "a long, b long")
 
 
 def sketch_filter(pairs: DataFrame, reps: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
@@ -273,7 +275,7 @@ def candidates(reps: DataFrame, columns: list[str], keyer, refine, near, per_row
     pairs = sketch_filter(met.where(F.col("b") >= 0).select("a", "b").distinct(), reps, near)
     big = refine_big(met.where(F.col("b") < 0), reps, columns, keyer, refine)
     fine = big if heavy is None else big.unionByName(heavy)
-    return write(pairs.unionByName(meet_sketched(fine, near)), "near").distinct()
+    return write(pairs.unionByName(meet_sketched(fine, near, write)), "near").distinct()
 
 
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:

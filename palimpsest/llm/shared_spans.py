@@ -7,8 +7,9 @@ single rows with the source coordinates (record, first word, length), and the wo
 read again and compared, so that no fingerprint decides alone.
 
 Shape: words are held in chunks (``chunks``). A chunk sends each distinct edge once, with what precedes and follows
-it; a task that gathers an edge gets at most one row from a chunk, however often the edge stands in
-the corpus. Repeated edges go back to their chunks, and only compacted paths travel further.
+it; edges come sorted to the tasks that gather them, which hold no more than ``cap`` rows of one. An edge of more chunks
+than that passes through and is joined with its combined neighbours apart from the others, without gathering it.
+Repeated edges go back to their chunks, and only compacted paths travel further.
 
 Defined cases: text is ``content`` or, where that is null, what the tokens spell (null tokens are skipped); records
 with neither, or with fewer than k words, have no spans; repeated rows count once and a record doesn't share with
@@ -26,9 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.salted import salted_join_unique
 from ..runtime import parts_for, written
 from .chunks import CHARS, chunked
-from .pairs import _bounds, _table
+from .pairs import _bounds, capped
 from .words import WordCodes, mix, windows, word_list
 
 END, MANY = np.uint32(0), np.uint32(1)
@@ -67,7 +69,7 @@ def _one(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(low == high, low, MANY).astype(np.uint32)
 
 
-def shared_paths(df: DataFrame, id_col: str, text: Column, k: int = 20) -> tuple[DataFrame, DataFrame]:
+def shared_paths(df: DataFrame, id_col: str, text: Column, k: int = 20, cap: int = 250_000) -> tuple[DataFrame, DataFrame]:
     """Compacted paths ``(path, digest, id, start, n_windows)`` that stand in at least two records, and the chunks."""
     kind = dict(df.select(id_col).dtypes)[id_col]
     source = df.select(F.col(id_col).alias("id"), text.alias("text")).where("id is not null and text is not null").distinct()
@@ -96,27 +98,35 @@ def shared_paths(df: DataFrame, id_col: str, text: Column, k: int = 20) -> tuple
                 )
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _table(batches)
-        if t is None:
-            return
-        h, chunk, beside, several = (t[n].to_numpy() for n in ("h", "chunk", "beside", "several"))
-        order = np.argsort(h, kind="stable")
-        h, chunk, beside, several = h[order], chunk[order], beside[order].view(np.uint64), several[order]
-        bounds = _bounds(h)
-        at, size = bounds[:-1], np.diff(bounds)
-        good = (size > 1) | np.logical_or.reduceat(several, at)
-        into = _one((beside >> np.uint64(32)).astype(np.uint32), at) == MANY
-        out = _one((beside & np.uint64(0xFFFFFFFF)).astype(np.uint32), at) == MANY
-        keep = np.repeat(good, size)
-        flag = np.repeat((into * 1 + out * 2).astype(np.int8), size)
-        yield pa.RecordBatch.from_arrays([pa.array(chunk[keep]), pa.array(h[keep]), pa.array(flag[keep])], names=["chunk", "h", "flag"])
-
-    parts = parts_for(df.sparkSession, chunks.count() * CHARS / 5)
-    found = (
+        for t, big in capped(batches, ["h"], cap):
+            h, chunk, beside, several = (t[n].to_numpy() for n in ("h", "chunk", "beside", "several"))
+            if big:
+                yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(h), pa.array(np.full(len(h), -1, np.int8)), pa.array(beside)], names=["chunk", "h", "flag", "beside"])
+                continue
+            bounds, sides = _bounds(h), beside.view(np.uint64)
+            at, size = bounds[:-1], np.diff(bounds)
+            good = (size > 1) | np.logical_or.reduceat(several, at)
+            into = _one((sides >> np.uint64(32)).astype(np.uint32), at) == MANY
+            out = _one((sides & np.uint64(0xFFFFFFFF)).astype(np.uint32), at) == MANY
+            keep = np.repeat(good, size)
+            flag = np.repeat((into * 1 + out * 2).astype(np.int8), size)
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[keep]), pa.array(h[keep]), pa.array(flag[keep]), pa.nulls(int(keep.sum()), pa.int64())], names=["chunk", "h", "flag", "beside"])
+
+    n_chunks = chunks.count()
+    met = (
         chunks.mapInArrow(edges, "h long, chunk long, beside long, several boolean")
-        .repartition(parts, "h")
-        .mapInArrow(repeated, "chunk long, h long, flag tinyint")
+        .repartition(parts_for(df.sparkSession, n_chunks * CHARS / 5), "h")
+        .sortWithinPartitions("h")
+        .mapInArrow(repeated, "chunk long, h long, flag tinyint, beside long")
     )
+    found = met.select("chunk", "h", "flag")
+    if n_chunks > cap:  # else no window can be in so many chunks
+        met = written(met, "windows")
+        hot = met.where("flag < 0").select("chunk", "h", "beside")
+        sides = hot.select("h", F.shiftright("beside", 32).alias("x"), F.col("beside").bitwiseAND(F.lit(0xFFFFFFFF)).alias("y"))
+        many = lambda c: (F.min(c) != F.max(c)) | (F.min(c) == int(MANY))
+        flags = sides.groupBy("h").agg((many("x").cast("int") + many("y").cast("int") * 2).cast("tinyint").alias("flag"))
+        found = met.where("flag >= 0").select("chunk", "h", "flag").unionByName(salted_join_unique(hot, flags, "h").select("chunk", "h", "flag"))
 
     def compact(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("path", pa.int64()), ("digest", pa.binary()), ("id", right.schema.field("ids").type.value_type), ("start", pa.int64()), ("n_windows", pa.int64())])
@@ -147,8 +157,8 @@ def shared_paths(df: DataFrame, id_col: str, text: Column, k: int = 20) -> tuple
     placed = found.groupBy("chunk").cogroup(chunks.groupBy("chunk")).applyInArrow(compact, f"path long, digest binary, id {kind}, start long, n_windows long")
     paths = written(placed, "paths")
     # the words at the coordinates decide: a path counts if the same words stand in two records
-    proven = paths.groupBy("path", "digest").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("path", "digest")
-    return paths.join(proven, ["path", "digest"], "left_semi"), chunks
+    proven = paths.groupBy("digest").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("digest")
+    return salted_join_unique(paths, proven, "digest"), chunks
 
 
 def shared_runs(paths: DataFrame, k: int = 20) -> DataFrame:

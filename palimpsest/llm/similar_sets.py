@@ -10,8 +10,9 @@ Segments of one-bit values alone cannot reach the recall at this threshold: at s
 probability 0.7, against 0.5 by chance, so segments selective enough for 100,000 sets (16 bits) match with
 probability 0.0033 and 1,400 of them would be needed. Therefore a segment here holds two minhashes in full.
 They are taken over all tokens of the set, frequent ones too: over a part of the tokens a pair can be far less similar
-than it is. A hot segment counts only together with another, so a pair of similarity s is missed by the segments with
-a probability of at most q^60 + 60 s^2 q^59, q = 1 - s^2 (0.036 % at 0.4), and by the radius with 0.05 %.
+than it is. Sets that meet under a hot segment are joined by it and one more of 24 minhashes; a pair that meets there and
+agrees in none of them has a probability of (1 - s)^24, 5e-6 at 0.4. A pair of similarity s shares no segment at all with
+a probability of (1 - s^2)^60, 3e-5 at 0.4, and is beyond the radius with 1e-5.
 
 Defined cases: null or empty sets and null elements take no part; repeated elements count once; a repeated row
 counts once; equal sets are one class with score 1; an empty table gives no pairs; extra columns are ignored.
@@ -33,9 +34,10 @@ from . import pairs as P
 from .words import mix
 
 BITS = 256
+MORE = 24  # minhashes beside a hot segment; two more are taken, as those of the segment itself don't count
 
 
-def code_radius(least: float, bits: int = BITS, miss: float = 0.0005) -> int:
+def code_radius(least: float, bits: int = BITS, miss: float = 0.00001) -> int:
     """Largest Hamming distance of the codes of two sets of similarity ``least``, but for a share ``miss`` of them.
 
     A bit differs with probability (1 - least) / 2, so the distance is binomial; the tail is summed exactly.
@@ -66,26 +68,6 @@ def _minima(x: np.ndarray, at: np.ndarray, mul: np.ndarray) -> np.ndarray:
     return out
 
 
-def frequent_tokens(df: DataFrame, col: str, frequent: float) -> tuple[np.ndarray, int]:
-    """Tokens in more than ``frequent`` of the rows, sorted, and the number of rows. Repeated elements must be gone.
-
-    Counts are added over all batches for tokens that reach half the share in a batch; the others of a batch hold
-    less than that there, so the list can only lack a token near the line, which costs no result.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = b.num_rows
-            u, c = np.unique(b.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
-            keep = c >= max(2, frequent * n / 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[u[keep], 0]), pa.array(np.r_[c[keep], 0]), pa.array(np.r_[np.zeros(keep.sum(), np.int64), n])], names=["t", "c", "n"])
-
-    got = df.select(col).mapInArrow(count, "t long, c long, n long").groupBy("t").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
-    total = got.agg(F.sum("n")).first()[0] or 0
-    top = got.where(F.col("c") > frequent * total).select("t").toPandas()["t"].to_numpy(dtype=np.int64)
-    return np.sort(top), total
-
-
 def similar_set_classes(df: DataFrame, id_col: str = "doc_id", col: str = "hashes", least: float = 0.4, segments: int = 60, cap: int = 256, share: float = 0.005) -> tuple[DataFrame, DataFrame]:
     """Pairs ``(a, b, score)`` of classes of equal sets, and the classes' members ``(rid, id)``."""
     sets = df.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(F.filter(col, lambda x: x.isNotNull()))).alias("v")).where(F.col("id").isNotNull() & (F.size("v") > 0))
@@ -123,14 +105,17 @@ def similar_set_classes(df: DataFrame, id_col: str = "doc_id", col: str = "hashe
         m = P.matrix(b.column("anchor"), np.uint32) if b.num_rows else np.empty((0, 2 * segments), np.uint32)
         return mix((m[:, ::2].astype(np.uint64) << np.uint64(32) | m[:, 1::2]) + names[None])
 
+    more = np.linspace(0, 2 * segments - 1, min(MORE + 2, 2 * segments)).astype(int)
+    salts = mix(np.arange(1, 2 * segments + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+
     def refine(b: pa.RecordBatch, r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A hot segment is joined together with each of the other segments."""
-        keys = keyer(b)
+        """A hot segment is joined together with each of some other minhashes."""
+        keys, m = keyer(b), P.matrix(b.column("anchor"), np.uint32) if b.num_rows else np.empty((0, 2 * segments), np.uint32)
         rows, out = [], []
-        for step in range(1, segments):
-            x, y = keys[r, c], keys[r, (c + step) % segments]
-            rows.append(r)
-            out.append(mix(np.minimum(x, y) * np.uint64(3) + np.maximum(x, y)))
+        for at in more:
+            other = c != at // 2
+            rows.append(r[other])
+            out.append(mix(keys[r[other], c[other]] * np.uint64(3) + mix(m[r[other], at].astype(np.uint64) + salts[at])))
         return (np.concatenate(rows), np.concatenate(out)) if rows else (np.empty(0, int), np.empty(0, np.uint64))
 
     radius = code_radius(least)

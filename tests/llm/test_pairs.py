@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm import pairs as P
 from palimpsest.llm.near_duplicates import Ring, near_duplicate_classes, near_duplicate_pairs
 from palimpsest.llm.queries import classes_of
-from palimpsest.llm.similar_sets import code_radius, frequent_tokens, similar_set_pairs
+from palimpsest.llm.similar_sets import code_radius, similar_set_pairs
 
 SCHEMA = "doc_id string, minhashes array<bigint>, rid long, id string, a long"
 
@@ -133,11 +133,50 @@ def test_boilerplate_hides_no_pair(spark):
     assert len(planted - got) <= 1 and len(got) >= 0.999 * len(want)
 
 
-def test_frequent_tokens_and_radius(spark):
-    df = spark.createDataFrame([([1, 2, i],) for i in range(10, 30)] + [([i],) for i in range(100, 120)], "v array<bigint>")
-    top, n = frequent_tokens(df, "v", 0.2)
-    assert list(top) == [1, 2] and n == 40
-    assert 95 < code_radius(0.4) < 106 and code_radius(1.0) == 0
+def test_radius():
+    assert 95 < code_radius(0.4, miss=0.0005) < 106 and code_radius(0.4) > code_radius(0.4, miss=0.0005) and code_radius(1.0) == 0
+
+
+def test_boundary_recall(spark, monkeypatch):
+    """600 pairs at similarity 0.4 that share tokens of half of all sets, with hot segments."""
+    monkeypatch.setattr(P, "HEAVY_LEAST", 8)
+    rng = np.random.default_rng(11)
+    common, more = [int(x) for x in rng.integers(0, 2**32, 12)], lambda n: [int(x) for x in rng.integers(0, 2**32, n)]
+    rows, planted = [], set()
+    for n in range(600):
+        own = more(28)
+        a, b = common + own + more(30), common + own + more(30)
+        rows += [(f"a{n:03}", a), (f"b{n:03}", b)]
+        planted.add((f"a{n:03}", f"b{n:03}"))
+    got = found(similar_set_pairs(spark.createDataFrame(rows, "doc_id string, hashes array<bigint>"), share=0.02))
+    assert planted == jaccard(rows) & planted and len(planted & got) >= 0.995 * len(planted)
+
+
+def test_one_key_of_half_the_rows_in_order(spark, monkeypatch):
+    """Sorted input, one third mould, blocks of refined rows: nothing is lost and no list of hot keys grows."""
+    monkeypatch.setattr(P, "BLOCK", 16)
+    monkeypatch.setattr(P, "HEAVY_LEAST", 8)
+    rng = np.random.default_rng(12)
+    mould = [int(x) for x in rng.integers(0, 2**32, 100)]
+    rows = [(f"a{n:03}", edits(rng, mould, 44), None, None, None) for n in range(120)] + [(f"b{n:03}", edits(rng, mould, 22), None, None, None) for n in range(20)]
+    rows += [(f"r{n:03}", [int(x) for x in rng.integers(0, 2**32, 100)], None, None, None) for n in range(100)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    assert found(near_duplicate_pairs(df, cap=4, share=0.05)) == brute(rows)
+
+
+def test_groups_stream_by():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(13)
+    keys = np.sort(np.r_[rng.integers(0, 40, 300), np.full(500, 17), np.full(90, 50)])
+    table = pa.table({"k": keys, "v": np.arange(len(keys))})
+    for size in (1, 7, 64, 2000):
+        small, big = [], []
+        for t, over in P.capped(iter(table.to_batches(max_chunksize=size)), ["k"], 20):
+            assert over or max(np.unique(t["k"].to_numpy(), return_counts=True)[1]) <= 20
+            (big if over else small).extend(zip(t["k"].to_pylist(), t["v"].to_pylist()))
+        assert sorted(small + big) == sorted(zip(keys.tolist(), range(len(keys))))
+        assert {k for k, _ in big} == {int(k) for k, n in zip(*np.unique(keys, return_counts=True)) if n > 20}
 
 
 def test_recall_on_the_tables(spark, sf):

@@ -48,6 +48,15 @@ def test_shared_spans(spark):
     df = spark.createDataFrame([(i, t, None, 0, "p") for i, t in rows], "doc_id string, content string, tokens array<string>, start long, path string")
     got = [(r.id, r.start_word, r.n_words) for r in shared_runs(shared_paths(df, "doc_id", record_text())[0]).collect()]
     assert len(got) == len(set(got)) and set(got) == runs(rows, 20)
+    small = chunked  # every chunk one record, and windows in more than 2 chunks pass through
+    import palimpsest.llm.shared_spans as SS
+
+    SS.chunked = lambda *a: small(*a, chars=1)
+    try:
+        got = [(r.id, r.start_word, r.n_words) for r in shared_runs(shared_paths(df, "doc_id", record_text(), cap=2)[0]).collect()]
+    finally:
+        SS.chunked = small
+    assert len(got) == len(set(got)) and set(got) == runs(rows, 20)
     short = {tuple(r) for r in shared_runs(shared_paths(df, "doc_id", record_text(), k=3)[0], 3).collect()}
     assert short == runs(rows, 3)
     assert shared_runs(shared_paths(df.limit(0), "doc_id", record_text())[0]).count() == 0
