@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.salted import salted_join_unique
+from ..runtime import written
 from .words import WORD, WordCodes, windows, word_list
 
 MOST = 4_000_000
@@ -27,11 +29,11 @@ MOST = 4_000_000
 class Items:
     """Windows of the items, sorted by hash, with a bitmap that most lookups end at."""
 
-    def __init__(self, items: list[tuple[object, list[str]]], k: int):
+    def __init__(self, ids: pa.Array, words: list[list[str]], k: int):
         codes = WordCodes()
-        self.k, self.ids, self.words = k, [i for i, _ in items], [w for _, w in items]
+        self.k, self.ids, self.words = k, ids, words
         hs, item, pos = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for n, (_, w) in enumerate(items):
+        for n, w in enumerate(words):
             h = windows(codes.of(w), k)
             hs.append(h)
             item.append(np.full(len(h), n))
@@ -62,7 +64,8 @@ def _items(items: DataFrame, id_col: str, text_col: str, k: int, most: int) -> I
     size = held.agg(F.sum(F.length(text_col))).first()[0] or 0
     if size // 2 > most:
         return None
-    return Items([(r[0], word_list(r[1])) for r in held.collect()], k)
+    table = held.toArrow()
+    return Items(table.column(0).combine_chunks(), [word_list(t) for t in table.column(1).to_pylist()], k)
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 12, most: int = MOST) -> DataFrame:
@@ -76,75 +79,101 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, codes = shared.value, WordCodes()
         for b in batches:
-            ids, hits = [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            at, hits = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
                 w = word_list(t)
                 if len(w) >= held.k:
                     for n in {n for n, _ in held.hits(w, codes.of(w))}:
-                        ids.append(i)
-                        hits.append(held.ids[n])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(hits)] if ids else [pa.array([], b.schema.field(0).type), pa.array([], pa.int64() if item_kind == "bigint" else pa.string())], names=["doc_id", "item_id"])
+                        at.append(i)
+                        hits.append(n)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), held.ids.take(pa.array(hits, pa.int64()))], names=["doc_id", "item_id"])
 
     rows = docs.select(doc_id, text).where(F.col(doc_id).isNotNull() & F.col(text).isNotNull())
     return rows.mapInArrow(scan, f"doc_id {kind}, item_id {item_kind}").distinct()
 
 
-def _by_shuffle(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, k: int) -> DataFrame:
-    def digests(df: DataFrame, i: str, t: str, name: str) -> DataFrame:
-        kind = dict(df.dtypes)[i]
+def _digests(df: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
+    """``(id, at, d)``: the digest of every window of k words."""
+    kind = dict(df.dtypes)[id_col]
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for key, body in zip(b.column(0), b.column(1).to_pylist()):
-                    w = word_list(body)
-                    d = sorted({hashlib.blake2b(" ".join(w[p : p + k]).encode("utf-8", "surrogatepass"), digest_size=16).digest() for p in range(len(w) - k + 1)})
-                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(d), b.schema.field(0).type), pa.array(d, pa.binary())], names=[name, "d"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, at, d = [], [], []
+            for n, body in enumerate(b.column(1).to_pylist()):
+                w = word_list(body)
+                last = len(w) - k + 1
+                d += [hashlib.blake2b(" ".join(w[p : p + k]).encode("utf-8", "surrogatepass"), digest_size=16).digest() for p in range(last)]
+                at += range(max(last, 0))
+                row += [n] * max(last, 0)
+                if len(d) > 200_000:
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(at, pa.int32()), pa.array(d, pa.binary())], names=["id", "at", "d"])
+                    row, at, d = [], [], []
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(at, pa.int32()), pa.array(d, pa.binary())], names=["id", "at", "d"])
 
-        return df.select(i, t).where(F.col(i).isNotNull() & F.col(t).isNotNull()).mapInArrow(run, f"{name} {kind}, d binary")
+    return df.select(id_col, text).where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).mapInArrow(run, f"id {kind}, at int, d binary")
 
-    return digests(docs, doc_id, text, "doc_id").join(digests(items, item_id, item_text, "item_id"), "d").select("doc_id", "item_id").distinct()
+
+def _by_shuffle(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, k: int) -> DataFrame:
+    of_items = written(_digests(items, item_id, item_text, k).select(F.col("id").alias("item_id"), "d").distinct(), "items")
+    # windows that stand in a large part of the documents don't move
+    hits = salted_join_unique(written(_digests(docs, doc_id, text, k).select(F.col("id").alias("doc_id"), "d").distinct(), "windows"), of_items.select("d").distinct(), "d")
+    return hits.join(of_items, "d").select("doc_id", "item_id").distinct()
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 12, whole: float = 0.5, most: int = MOST) -> DataFrame:
     """``(doc_id, text, n_removed)``: texts with the leaked spans cut out, for every document.
 
-    A document of whose words more than ``whole`` leaked gets a null text (it is to be dropped). Needs items within
-    the broadcast bound. Null texts stay null with 0 words removed.
+    A document of whose words more than ``whole`` leaked gets a null text (it is to be dropped). Null texts stay null
+    with 0 words removed. Rows with equal or null ids stay rows of their own.
     """
     kind = dict(docs.dtypes)[doc_id]
     found = _items(items, item_id, item_text, k, most)
+    out = f"doc_id {kind}, text string, n_removed long"
+
+    def cut(ids: pa.Array, bodies: list[str | None], places: list[list[int]]) -> pa.RecordBatch:
+        """The texts without the windows that begin at ``places``."""
+        texts, gone = [], []
+        for t, hit in zip(bodies, places):
+            if not hit:
+                texts.append(t)
+                gone.append(0)
+                continue
+            at = _offsets(t)
+            bad = np.zeros(len(at), bool)
+            for p in hit:
+                bad[p : p + k] = True
+            if bad.mean() > whole:
+                texts.append(None)
+            else:
+                edge = np.flatnonzero(np.diff(np.r_[0, bad.astype(np.int8), 0]))
+                kept, last = [], 0
+                for x, y in zip(edge[::2], edge[1::2]):
+                    kept.append(t[last : at[x][0]])
+                    last = at[y - 1][1]
+                texts.append("".join([*kept, t[last:]]))
+            gone.append(int(bad.sum()))
+        return pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string()), pa.array(gone, pa.int64())], names=["doc_id", "text", "n_removed"])
+
     if found is None:
-        raise ValueError("too many items to broadcast; use leaks() and drop the documents")
+        rows = written(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).withColumn("row", F.monotonically_increasing_id()), "texts")
+        of_items = _digests(items, item_id, item_text, k).select("d").distinct()
+        hits = salted_join_unique(written(_digests(rows, "row", "text", k), "windows"), of_items, "d").groupBy(F.col("id").alias("row")).agg(F.collect_list("at").alias("places"))
+
+        def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield cut(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist())
+
+        return rows.join(hits, "row", "left").select("id", "text", "places").mapInArrow(given, out)
     shared = docs.sparkSession.sparkContext.broadcast(found)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, codes = shared.value, WordCodes()
         for b in batches:
-            texts, gone = [], []
-            for t in b.column(1).to_pylist():
-                w = word_list(t)
-                hit = held.hits(w, codes.of(w)) if len(w) >= k else []
-                if not hit:
-                    texts.append(t)
-                    gone.append(0)
-                    continue
-                bad = np.zeros(len(w), bool)
-                for _, p in hit:
-                    bad[p : p + k] = True
-                at = _offsets(t)
-                if bad.mean() > whole:
-                    texts.append(None)
-                else:
-                    edge = np.flatnonzero(np.diff(np.r_[0, bad.astype(np.int8), 0]))
-                    out, last = [], 0
-                    for x, y in zip(edge[::2], edge[1::2]):
-                        out.append(t[last : at[x][0]])
-                        last = at[y - 1][1]
-                    texts.append("".join([*out, t[last:]]))
-                gone.append(int(bad.sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(gone, pa.int64())], names=["doc_id", "text", "n_removed"])
-
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, text string, n_removed long")
+            bodies = b.column(1).to_pylist()
+            words = map(word_list, bodies)
+            yield cut(b.column(0), bodies, [[p for _, p in held.hits(w, codes.of(w))] if len(w) >= k else [] for w in words])
+
+    return docs.select(doc_id, text).mapInArrow(searched, out)
 
 
 def _offsets(text: str) -> list[tuple[int, int]]:

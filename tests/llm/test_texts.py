@@ -111,6 +111,12 @@ def test_leaks(spark):
         got = [(r.doc_id, r.item_id) for r in L.leaks(d, b, most=most).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert L.leaks(d.limit(0), b).count() == 0 and L.leaks(d, b.limit(0)).count() == 0
+    ints = L.leaks(d, b.withColumn("item_id", F.col("item_id").cast("int"))).collect()
+    assert {(r.doc_id, r.item_id) for r in ints} == want
+    for most in (L.MOST, 0):
+        rows = sorted(map(repr, L.without_leaks(d, b, most=most).collect()))
+        assert len(rows) == len(docs) and (most or rows == before)
+        before = rows
     clean = {(r.doc_id, r.n_removed): r.text for r in L.without_leaks(d.where("doc_id is not null"), b).collect()}
     assert clean[(6, 42)] is None and clean[(7, 0)] == "nothing" and clean[(3, 0)] is None and clean[(5, 12)].strip() == ("x " * 3000).strip()
     assert clean[(2, 0)] == docs[1][1] and (1, 12) in clean
