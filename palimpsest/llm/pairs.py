@@ -32,14 +32,15 @@ NONE = np.uint64(0)  # a key that a record doesn't have
 
 
 def matrix(column: pa.Array, dtype) -> np.ndarray:
-    """A binary column whose values have one length, as a 2-d array."""
+    """A binary column without nulls whose values have one length, as a 2-d array."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
     if n == 0:
         return np.empty((0, 0), dtype=dtype)
-    joined = b"".join(x.as_py() for x in column)
-    return np.frombuffer(joined, dtype=dtype).reshape(n, -1)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + n + 1]
+    return np.frombuffer(np.frombuffer(data, np.uint8)[at[0] : at[-1]].tobytes(), dtype=dtype).reshape(n, -1)
 
 
 def binary(rows: np.ndarray) -> pa.Array:
@@ -79,39 +80,12 @@ def _isin(keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return hot[at] == keys
 
 
-def keyed(
-    reps: DataFrame,
-    columns: list[str],
-    keyer: Callable[[pa.RecordBatch], np.ndarray],
-    refine: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]],
-    hot: np.ndarray,
-) -> tuple[DataFrame, DataFrame]:
-    """``(key, rid)`` rows of the ordinary keys, and ``(key, rid, sketch)`` rows of the refined hot ones."""
-    shared = reps.sparkSession.sparkContext.broadcast(hot)
-
-    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rid = b.column("rid").to_numpy(zero_copy_only=False)
-            keys = keyer(b)
-            keep = ~_isin(keys, shared.value) & (keys != NONE)
-            rows = np.broadcast_to(rid[:, None], keys.shape)[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(rows)], names=["key", "rid"])
-
-    def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = keyer(b)
-            r, c = np.nonzero(_isin(keys, shared.value))
-            yield from _refined(b, refine, r, c)
-
-    light = reps.select(*columns).mapInArrow(plain, "key long, rid long")
-    heavy = reps.select(*columns).mapInArrow(fine, "key long, rid long, sketch binary") if len(hot) else None
-    return light, heavy
-
-
 def _refined(b: pa.RecordBatch, refine, r: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Refined rows of the memberships, which come ordered by r; those of a class stay together."""
     rid = b.column("rid").to_numpy(zero_copy_only=False)
-    for lo in range(0, len(r), 2000):
-        rows, keys = refine(b, r[lo : lo + 2000], c[lo : lo + 2000])
+    cuts = np.unique(np.r_[0, np.searchsorted(r, r[2000::2000], "left"), len(r)]) if len(r) else []
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        rows, keys = refine(b, r[lo:hi], c[lo:hi])
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys.view(np.int64)), pa.array(rid[rows]), b.column("sketch").take(pa.array(rows))], names=["key", "rid", "sketch"]
         )
@@ -171,8 +145,11 @@ def _pair_batch(a: np.ndarray, b: np.ndarray, key: np.ndarray | None = None) ->
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.zeros(len(a), np.int64) if key is None else key)], names=["a", "b", "key"])
 
 
-def meet(keys: DataFrame, cap: int, parts: int) -> DataFrame:
-    """Pairs ``(a, b)`` of rids that share a key; members of groups over ``cap`` come as ``(rid, -1, key)``."""
+def meet(keys: DataFrame, cap: int, parts: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """Pairs ``(a, b)`` of rids that share a key; members of groups over ``cap`` come as ``(rid, -1, key)``.
+
+    Where the rows carry a sketch, only pairs whose sketches pass ``near`` come.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, big in capped(batches, ["key"], cap):
@@ -180,6 +157,7 @@ def meet(keys: DataFrame, cap: int, parts: int) -> DataFrame:
             if big:
                 yield _pair_batch(rid, np.full(len(rid), -1, np.int64), key)
                 continue
+            sketch = matrix(t["sketch"], np.uint8) if near is not None else None
             at = _bounds(key)
             size = np.diff(at)
             for s in np.unique(size):
@@ -189,8 +167,12 @@ def meet(keys: DataFrame, cap: int, parts: int) -> DataFrame:
                 i, j = np.triu_indices(s, 1)
                 step = max(1, 2_000_000 // len(i))
                 for lo in range(0, len(starts), step):
-                    g = rid[starts[lo : lo + step, None] + np.arange(s)[None]]
-                    a, b = g[:, i].ravel(), g[:, j].ravel()
+                    g = starts[lo : lo + step, None] + np.arange(s)[None]
+                    x, y = g[:, i].ravel(), g[:, j].ravel()
+                    if near is not None:
+                        keep = near(sketch[x], sketch[y])
+                        x, y = x[keep], y[keep]
+                    a, b = rid[x], rid[y]
                     u = np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
                     u = np.unique(u, axis=0) if s > 8 else u
                     u = u[u[:, 0] != u[:, 1]]
@@ -199,19 +181,6 @@ def meet(keys: DataFrame, cap: int, parts: int) -> DataFrame:
     return keys.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, key long")
 
 
-def refine_big(big: DataFrame, reps: DataFrame, columns: list[str], keyer, refine) -> DataFrame:
-    """Refined rows of the members ``(rid, key)`` of groups over the cap."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, bad = keyer(b), b.column("__big").to_numpy(zero_copy_only=False).view(np.uint64)
-            r, c = np.nonzero(keys == bad[:, None])
-            yield from _refined(b, refine, r, c)
-
-    rows = big.select(F.col("a").alias("rid"), F.col("key").alias("__big")).join(reps.select(*columns), "rid")
-    return rows.mapInArrow(run, "key long, rid long, sketch binary")
-
-
 def meet_sketched(keys: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Pairs of refined rows that share a key and whose sketches pass ``near``.
 
@@ -266,16 +235,46 @@ def sketch_filter(pairs: DataFrame, reps: DataFrame, near: Callable[[np.ndarray,
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def candidates(reps: DataFrame, columns: list[str], keyer, refine, near, per_row: int, share: float, cap: int, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """All pairs of classes that meet under a key and pass the sketch, each once. A class has about ``per_row`` keys."""
+def candidates(reps: DataFrame, columns: list[str], keyer, refine, near, per_row: int, share: float, cap: int, write: Callable[[DataFrame, str], DataFrame], carry: bool = False) -> DataFrame:
+    """All pairs of classes that meet under a key and pass the sketch, each once. A class has about ``per_row`` keys.
+
+    With ``carry`` the rows of keys carry the sketch (a small one), so that a pair is filtered where it meets; else pairs
+    are joined with the sketches. ``refine`` gets a batch with the hot memberships of its classes, as rows and columns of ``keyer``'s result.
+    """
     parts = parts_for(reps.sparkSession, reps.count() * per_row)
     hot = local_heavy(reps, columns, keyer, share)
-    light, heavy = keyed(reps, columns, keyer, refine, hot)
-    met = write(meet(light, cap, parts), "met")
-    pairs = sketch_filter(met.where(F.col("b") >= 0).select("a", "b").distinct(), reps, near)
-    big = refine_big(met.where(F.col("b") < 0), reps, columns, keyer, refine)
-    fine = big if heavy is None else big.unionByName(heavy)
-    return write(pairs.unionByName(meet_sketched(fine, near, write)), "near").distinct()
+    shared = reps.sparkSession.sparkContext.broadcast(hot)
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rid = b.column("rid").to_numpy(zero_copy_only=False)
+            keys = keyer(b)
+            keep = ~_isin(keys, shared.value) & (keys != NONE)
+            rows = np.broadcast_to(rid[:, None], keys.shape)[keep]
+            one = pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(rows)], names=["key", "rid"])
+            yield one.append_column("sketch", b.column("sketch").take(pa.array(np.nonzero(keep)[0]))) if carry else one
+
+    def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = keyer(b)
+            is_hot = _isin(keys, shared.value)
+            for i, big in enumerate(b.column("__big").to_pylist()):
+                if big:
+                    is_hot[i] |= np.isin(keys[i].view(np.int64), big)
+            r, c = np.nonzero(is_hot)
+            yield from _refined(b, refine, r, c)
+
+    rows = reps.select(*columns).mapInArrow(plain, "key long, rid long, sketch binary" if carry else "key long, rid long")
+    met = write(meet(rows, cap, parts, near if carry else None), "met")
+    pairs = met.where(F.col("b") >= 0).select("a", "b").distinct()
+    pairs = pairs if carry else sketch_filter(pairs, reps, near)
+    # at most per_row keys a class
+    big = met.where(F.col("b") < 0).groupBy(F.col("a").alias("rid")).agg(F.collect_set("key").alias("__big"))
+    with_hot = reps.select(*columns).join(big, "rid", "left" if len(hot) else "inner").select(*columns, "__big")
+    refined = with_hot.mapInArrow(fine, "key long, rid long, sketch binary")
+    return write(pairs.unionByName(meet_sketched(refined, near, write)), "near").distinct()
 
 
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Multi-index binary sketches. Every distinct set gets minhashes; their low bits are packed into a one-bit code,
 and pairs of minhashes into the segments of a multi-index that is joined by equality. A pair that meets in a
-segment is a candidate if its codes lie within a Hamming radius calibrated for recall (``code_radius``), and is
+segment is a candidate if its codes (512 bits with those of the segments) lie within a Hamming radius calibrated for
+recall (``code_radius``) and its sizes allow the similarity, and is
 kept if the original sets, compared exactly, are similar enough. Scores are exact; recall is that of
 the segments and the radius.
 
@@ -10,9 +11,10 @@ Segments of one-bit values alone cannot reach the recall at this threshold: at s
 probability 0.7, against 0.5 by chance, so segments selective enough for 100,000 sets (16 bits) match with
 probability 0.0033 and 1,400 of them would be needed. Therefore a segment here holds two minhashes in full.
 They are taken over all tokens of the set, frequent ones too: over a part of the tokens a pair can be far less similar
-than it is. Sets that meet under a hot segment are joined by it and one more of 24 minhashes; a pair that meets there and
-agrees in none of them has a probability of (1 - s)^24, 5e-6 at 0.4. A pair of similarity s shares no segment at all with
-a probability of (1 - s^2)^60, 3e-5 at 0.4, and is beyond the radius with 1e-5.
+than it is. A pair of which one common segment is ordinary meets under it; if all its common segments are hot, it meets under
+any two of them. So a pair of similarity s is missed by the segments with a probability of q^60, q = 1 - s^2 (3e-5 at
+0.4), and, only if all that it has in common is hot, of q^60 + 60 s^2 q^59 (3.6e-4 at 0.4, 5e-6 at 0.5). The radius misses
+1e-5.
 
 Defined cases: null or empty sets and null elements take no part; repeated elements count once; a repeated row
 counts once; equal sets are one class with score 1; an empty table gives no pairs; extra columns are ignored.
@@ -33,11 +35,10 @@ from ..runtime import written
 from . import pairs as P
 from .words import mix
 
-BITS = 256
-MORE = 24  # minhashes beside a hot segment; two more are taken, as those of the segment itself don't count
+BITS = 392  # with the 120 bits of the segments' minhashes a code of 64 bytes
 
 
-def code_radius(least: float, bits: int = BITS, miss: float = 0.00001) -> int:
+def code_radius(least: float, bits: int, miss: float = 0.00001) -> int:
     """Largest Hamming distance of the codes of two sets of similarity ``least``, but for a share ``miss`` of them.
 
     A bit differs with probability (1 - least) / 2, so the distance is binomial; the tail is summed exactly.
@@ -94,9 +95,11 @@ def similar_set_classes(df: DataFrame, id_col: str = "doc_id", col: str = "hashe
             raw, off = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
             off = off - off[0]
             x = mix(raw.view(np.uint64))
-            bits = np.packbits((_minima(x, off[:-1], code) & np.uint64(1)).astype(np.uint8), axis=1)
             folded = (mix(_minima(x, off[:-1], anchors)) >> np.uint64(32)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([b.column("rid"), P.binary(folded), P.binary(bits)], names=["rid", "anchor", "sketch"])
+            ones = np.concatenate([_minima(x, off[:-1], code) & np.uint64(1), folded & np.uint32(1)], axis=1)
+            size = np.diff(off).astype(np.uint32)
+            sketch = np.concatenate([np.packbits(ones.astype(np.uint8), axis=1), size[:, None].view(np.uint8)], axis=1)
+            yield pa.RecordBatch.from_arrays([b.column("rid"), P.binary(folded), P.binary(sketch)], names=["rid", "anchor", "sketch"])
 
     index = written(reps.select("rid", "v").mapInArrow(sketches, "rid long, anchor binary, sketch binary"), "sketches")
     names = mix(np.arange(1, segments + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -105,25 +108,30 @@ def similar_set_classes(df: DataFrame, id_col: str = "doc_id", col: str = "hashe
         m = P.matrix(b.column("anchor"), np.uint32) if b.num_rows else np.empty((0, 2 * segments), np.uint32)
         return mix((m[:, ::2].astype(np.uint64) << np.uint64(32) | m[:, 1::2]) + names[None])
 
-    more = np.linspace(0, 2 * segments - 1, min(MORE + 2, 2 * segments)).astype(int)
-    salts = mix(np.arange(1, 2 * segments + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-
     def refine(b: pa.RecordBatch, r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A hot segment is joined together with each of some other minhashes."""
-        keys, m = keyer(b), P.matrix(b.column("anchor"), np.uint32) if b.num_rows else np.empty((0, 2 * segments), np.uint32)
-        rows, out = [], []
-        for at in more:
-            other = c != at // 2
-            rows.append(r[other])
-            out.append(mix(keys[r[other], c[other]] * np.uint64(3) + mix(m[r[other], at].astype(np.uint64) + salts[at])))
-        return (np.concatenate(rows), np.concatenate(out)) if rows else (np.empty(0, int), np.empty(0, np.uint64))
-
-    radius = code_radius(least)
+        """Every two hot segments of a set."""
+        keys = keyer(b)
+        rows, out = [np.empty(0, int)], [np.empty(0, np.uint64)]
+        begin = np.searchsorted(r, r, "right")
+        for step in range(1, segments):
+            at = np.flatnonzero(np.arange(len(r)) + step < begin)
+            if not len(at):
+                break
+            rows.append(r[at])
+            out.append(mix(keys[r[at], c[at]] * np.uint64(3) + keys[r[at + step], c[at + step]]))
+        return np.concatenate(rows), np.concatenate(out)
+
+    radius, width = code_radius(least, BITS + 2 * segments), -(-(BITS + 2 * segments) // 8)
 
     def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(a ^ b).sum(axis=1) <= radius
-
-    found = P.candidates(index, ["rid", "anchor", "sketch"], keyer, refine, near, segments, share, cap, written)
+        """Codes within the radius, of sets whose sizes allow the similarity."""
+        x, y = (np.ascontiguousarray(v[:, width:]).view(np.uint32)[:, 0] for v in (a, b))
+        keep = np.minimum(x, y) >= least * np.maximum(x, y) - 1e-9
+        words = np.bitwise_count(np.ascontiguousarray(a[keep, :width]) ^ np.ascontiguousarray(b[keep, :width])).sum(axis=1, dtype=np.uint32)
+        keep[keep] = words <= radius
+        return keep
+
+    found = P.candidates(index, ["rid", "anchor", "sketch"], keyer, refine, near, segments, share, cap, written, carry=True)
     v = reps.select("rid", "v")
     both = found.join(v.select(F.col("rid").alias("a"), F.col("v").alias("x")), "a").join(v.select(F.col("rid").alias("b"), F.col("v").alias("y")), "b")
     common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("k"), (F.size("x") + F.size("y")).alias("t"))

@@ -134,7 +134,7 @@ def test_boilerplate_hides_no_pair(spark):
 
 
 def test_radius():
-    assert 95 < code_radius(0.4, miss=0.0005) < 106 and code_radius(0.4) > code_radius(0.4, miss=0.0005) and code_radius(1.0) == 0
+    assert 95 < code_radius(0.4, 256, miss=0.0005) < 106 and code_radius(0.4, 256) > code_radius(0.4, 256, miss=0.0005) and code_radius(1.0, 256) == 0
 
 
 def test_boundary_recall(spark, monkeypatch):
