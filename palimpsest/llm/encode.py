@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,11 @@ def encoder(name: str, folder: str):
     return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=vocabulary(name, folder), special_tokens={})
 
 
+def _ship(spark: SparkSession, name: str, folder: str) -> None:
+    """Send the vocabulary to the executors; only the driver has to see ``folder``."""
+    spark.sparkContext.addFile(os.path.join(folder, f"{name}.tiktoken"))
+
+
 @lru_cache(1)
 def _pattern():
     import regex
@@ -52,13 +58,14 @@ def split(text: str) -> list[str]:
 
 
 def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """``(id_col, ids)`` for every row of ``df``. ``folder`` must be readable on every executor."""
+    """``(id_col, ids)`` for every row of ``df``, by the vocabulary ``name`` of ``folder`` (a folder of the driver)."""
+    _ship(df.sparkSession, name, folder)
     kind = dict(df.select(id_col).dtypes)[id_col]
     chunks = written(chunked(df, id_col, text_col, split), "words")
     used = chunks.select(F.col("chunk").alias("c"), F.posexplode("pieces").alias("at", "word"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(name, folder)
+        bpe = encoder(name, SparkFiles.getRootDirectory())
         for b in batches:
             ids = bpe.encode_ordinary_batch(b.column(0).to_pylist(), num_threads=1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])

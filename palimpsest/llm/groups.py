@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.salted import salted_join_unique
-from ..runtime import written
+from ..runtime import delete_path, scratch_path
 
 
 def link_groups(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -25,17 +25,26 @@ def link_groups(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = 60)
     Rounds grow with the logarithm of the longest chain in practice; more than ``rounds`` is an error, never a
     partial result.
     """
+    spark = pairs.sparkSession
+
+    def kept(df: DataFrame) -> tuple[DataFrame, str]:
+        path = scratch_path(spark, "clusters")
+        df.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path
+
     links = pairs.select(F.col(a).alias("v"), F.col(b).alias("u")).where("v is not null and u is not null")
     mirrored = links.select(F.explode(F.array(F.struct("v", "u"), F.struct(F.col("u").alias("v"), F.col("v").alias("u")), F.struct("v", F.col("v").alias("u")), F.struct(F.col("u").alias("v"), "u"))).alias("x"))
-    state = written(mirrored.select("x.v", "x.u").distinct(), "clusters")
+    state, path = kept(mirrored.select("x.v", "x.u").distinct())
     before = None
     for _ in range(rounds):
         low = state.groupBy("v").agg(F.min("u").alias("m"))
         with_low = salted_join_unique(state, low, "v")
         sent = with_low.select(F.explode(F.array(F.struct(F.col("m").alias("v"), "u"), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("x")).select("x.v", "x.u").distinct()
-        state = written(sent, "clusters")
-        # stable once every vertex holds only its minimum and the minimum holds everybody: equal size and sum
-        now = tuple(state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+        # a round needs the one before it only
+        old, (state, path) = path, kept(sent)
+        delete_path(spark, old)
+        # stable once every vertex holds only its minimum and the minimum holds everybody: equal size and 128 bits of sums
+        now = tuple(state.agg(F.count(F.lit(1)), *[F.sum(F.xxhash64(*x).cast("decimal(38,0)")) for x in (("v", "u"), ("u", "v"))]).first())
         if now == before:
             return state.groupBy(F.col("v").alias("doc")).agg(F.min("u").alias("group_doc")).select("group_doc", "doc")
         before = now

@@ -73,6 +73,7 @@ def oracle_sql() -> dict[str, str]:
             reach AS (SELECT x, y FROM l UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x)
             SELECT min(y) AS group_doc, x AS doc FROM reach GROUP BY x""",
         "p6_found": _p6(),
+        "p8_texts": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
         "p9_found": """WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
             ik AS (SELECT DISTINCT item_id, array_to_string(w[p + 1 : p + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(0, len(w) - 11)) AS p FROM i)),
             d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),

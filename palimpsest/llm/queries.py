@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import table, written
 from .batches import rejected_records
-from .encode import encode_texts
+from .encode import decode_ids, encode_texts
 from .groups import link_groups
 from .leaks import leaks, without_leaks
 from .near_duplicates import near_duplicate_classes, near_duplicate_pairs
@@ -111,6 +111,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"))
 
 
+def p8_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts again from their ids."""
+    return decode_ids(written(p8_ids(spark, d), "ids")).select("doc_id", F.md5("text").alias("text_md5"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -130,4 +135,4 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_scores, p3_found, p3_counts, p3_delta, p4_found, p4_coverage, p5_found, p6_found, p8_ids, p9_found, p9_clean, p10_found, p10_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_scores, p3_found, p3_counts, p3_delta, p4_found, p4_coverage, p5_found, p6_found, p8_ids, p8_texts, p9_found, p9_clean, p10_found, p10_redacted)}
