@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 
 def hash32(token: Column) -> Column:
     return F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint")
@@ -31,7 +33,7 @@ def minhash_of_hashes(hashes: Column, n: int = 200, seed: int = 42) -> Column:
     if n < 1:
         raise ValueError("a signature needs at least one hash")
     r = F.array(*[F.lit(x).cast("bigint") for x in random_ints(n, seed)])
-    return F.when(F.size(hashes) > 0, F.transform(r, lambda x: F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(x)))))
+    return let(hashes, lambda v: F.when(F.size(v) > 0, F.transform(r, lambda x: F.array_min(F.transform(v, lambda h: h.bitwiseXOR(x))))))
 
 
 def minhash_generator(n: int = 200, seed: int = 42) -> Callable[[Column], Column]:

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 # fixed value: word segments by Unicode word boundaries, restricted to what RE2 and Java share
 WORD = r"(?:[\p{L}_][\p{L}\p{M}_]*(?:['’‘.·][\p{L}_][\p{L}\p{M}_]*)*|\p{Nd}+(?:[.,;'’‘]\p{Nd}+)*)+"
 
@@ -82,11 +84,11 @@ def skip_shingle(w: Column, n: int = 3, k: int = 1, strict: bool = False) -> Col
 
 
 def ngrams(text: Column, n: int = 3, lowercase: bool = True, strict: bool = False) -> Column:
-    return shingle(words(text, lowercase), n, strict)
+    return let(words(text, lowercase), lambda w: shingle(w, n, strict))
 
 
 def skip_ngrams(text: Column, n: int = 3, k: int = 1, lowercase: bool = True, strict: bool = False) -> Column:
-    return skip_shingle(words(text, lowercase), n, k, strict)
+    return let(words(text, lowercase), lambda w: skip_shingle(w, n, k, strict))
 
 
 def minimum_words(n: int = 3, k: int = 0) -> int:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import squish
 from ..functions.tokenizers import words
+from ..runtime import written
 
 SCHEMA = "struct<a_edits string, b_edits string, score int, n_optimal int>"
 
@@ -123,7 +124,9 @@ def align_words(a_words: list[str], b_words: list[str], a_norm: list[str], b_nor
 def align_pairs(pairs: DataFrame, docs: DataFrame, scores: Scores = Scores(), preserve_punctuation: bool = False, id_col: str = "doc_id", content: str = "text") -> DataFrame:
     """``(a, b, a_edits, b_edits, score, n_optimal)`` of the documents of every pair; ``n_optimal`` > 1 means ties."""
     tokens = align_tokens(F.col(content), preserve_punctuation)
-    d = docs.select(F.col(id_col).alias("id"), tokens.alias("w")).where("w is not null").select("id", "w", normalized(F.col("w")).alias("n"))
+    # hashes of the normalised words are enough to compare them; a pair carries the words once
+    d = docs.select(F.col(id_col).alias("id"), tokens.alias("w")).select("id", "w", F.transform(normalized(F.col("w")), lambda x: F.xxhash64(x)).alias("n"))
+    d = written(d, "words").where("w is not null")
     both = (
         pairs.select("a", "b")
         .join(d.select(F.col("id").alias("a"), F.col("w").alias("aw"), F.col("n").alias("an")), "a")
@@ -133,11 +136,13 @@ def align_pairs(pairs: DataFrame, docs: DataFrame, scores: Scores = Scores(), pr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [align_words(*[batch.column(c)[i].as_py() for c in ("aw", "bw", "an", "bn")], scores) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array([g["a_edits"] for g in got], pa.string()), pa.array([g["b_edits"] for g in got], pa.string()), pa.array([g["score"] for g in got], pa.int32()), pa.array([g["n_optimal"] for g in got], pa.int32())],
-                names=["a", "b", "a_edits", "b_edits", "score", "n_optimal"],
-            )
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                got = [align_words(*[part.column(c)[i].as_py() for c in ("aw", "bw", "an", "bn")], scores) for i in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("a"), part.column("b"), pa.array([g["a_edits"] for g in got], pa.string()), pa.array([g["b_edits"] for g in got], pa.string()), pa.array([g["score"] for g in got], pa.int32()), pa.array([g["n_optimal"] for g in got], pa.int32())],
+                    names=["a", "b", "a_edits", "b_edits", "score", "n_optimal"],
+                )
 
     return both.mapInArrow(run, f"a {kinds['a']}, b {kinds['b']}, a_edits string, b_edits string, score int, n_optimal int")
 

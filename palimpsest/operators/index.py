@@ -8,16 +8,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import written
+from .salted import meeting_pairs, salted_join_unique
 
 
 def _rows(df: DataFrame, id_col: str, tokens: str) -> DataFrame:
-    return df.select(F.col(id_col).alias("doc"), F.explode(F.array_distinct(tokens)).alias("token")).where("token is not null and doc is not null").distinct()
+    """Distinct ``(doc, token)``, written once: tokens are made once, however often the rows are read."""
+    rows = df.select(F.col(id_col).alias("doc"), F.explode(F.array_distinct(tokens)).alias("token")).where("token is not null and doc is not null").distinct()
+    return written(rows, "postings")
+
+
+def _counts(rows: DataFrame, least: int, most: int | None) -> DataFrame:
+    n = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= least)
+    return n if most is None else n.where(F.col("n_docs") <= most)
 
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", tokens: str = "tokens", least: int = 2, most: int | None = None) -> DataFrame:
     """``(token, n_docs)`` of the tokens in ``least`` to ``most`` documents; counts are combined before the shuffle."""
-    n = _rows(df, id_col, tokens).groupBy("token").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= least)
-    return n if most is None else n.where(F.col("n_docs") <= most)
+    return _counts(_rows(df, id_col, tokens), least, most)
 
 
 def token_index(df: DataFrame, id_col: str = "doc_id", tokens: str = "tokens", least: int = 2, most: int | None = None) -> DataFrame:
@@ -26,28 +33,26 @@ def token_index(df: DataFrame, id_col: str = "doc_id", tokens: str = "tokens", l
     Tokens outside the bounds are counted out before their lists are built. A list is as long as the token is
     frequent: set ``most``, or use ``token_postings``, where a token may be in a large part of a large corpus.
     """
-    rows = _rows(df, id_col, tokens)
-    kept = token_counts(df, id_col, tokens, least, most)
-    return rows.join(kept.select("token"), "token", "left_semi").groupBy("token").agg(F.array_sort(F.collect_list("doc")).alias("docs"), F.count(F.lit(1)).alias("n_docs"))
+    kept = token_postings(df, id_col, tokens, least, most)
+    return kept.groupBy("token").agg(F.array_sort(F.collect_list("doc")).alias("docs"), F.count(F.lit(1)).alias("n_docs"))
 
 
-def token_postings(df: DataFrame, id_col: str = "doc_id", tokens: str = "tokens", least: int = 2, most: int | None = None) -> DataFrame:
-    """The same index as rows ``(token, doc)``, without lists."""
-    return _rows(df, id_col, tokens).join(token_counts(df, id_col, tokens, least, most).select("token"), "token", "left_semi").select("token", "doc")
+def token_postings(df: DataFrame, id_col: str = "doc_id", tokens: str = "tokens", least: int = 2, most: int | None = None, share: float = 0.005) -> DataFrame:
+    """The same index as rows ``(token, doc)``, without lists. The rows of tokens with over ``share`` of all don't move."""
+    rows = _rows(df, id_col, tokens)
+    counts = written(_counts(rows, 1, None), "counts")
+    line = (counts.agg(F.sum("n_docs")).first()[0] or 0) * share
+    wanted = counts.where(F.col("n_docs") >= least) if most is None else counts.where(F.col("n_docs").between(least, most))
+    return salted_join_unique(rows, wanted.select("token"), "token", heavy=counts.where(F.col("n_docs") > line).select("token")).select("token", "doc")
 
 
 def token_index_candidates(index: DataFrame, each: int = 1000) -> DataFrame:
     """Distinct pairs ``(a, b, score NULL)`` of documents that share a token of an index or of its postings.
 
-    The documents of a token in more than ``each`` of them are split into blocks of about that size, by a hash of the
-    document, and every block meets the token's whole list in a task of its own; no pair is left out by that.
+    Tokens of more than ``each`` documents are split into blocks (``meeting_pairs``).
     """
     rows = index.select("token", "doc") if "doc" in index.columns else index.select("token", F.explode("docs").alias("doc"))
-    hot = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / each).cast("int").alias("blocks")).where("blocks > 1")
-    split = rows.join(hot, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    left = split.select("token", F.col("doc").alias("a"), F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"))
-    right = split.select("token", F.col("doc").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    return left.join(right, ["token", "block"]).where("a < b").select("a", "b").distinct().withColumn("score", F.lit(None).cast("double"))
+    return meeting_pairs(rows, "token", each=each).select("a", "b").distinct().withColumn("score", F.lit(None).cast("double"))
 
 
 def token_index_partners(df: DataFrame, id_col: str = "doc_id", tokens: str = "hashes", each: int = 65_536, dense: int = 256) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .salted import meeting_pairs
+
 
 def check_banding(h: int, b: int) -> int:
     """Rows in a band."""
@@ -47,16 +49,13 @@ def lsh_add(buckets: DataFrame, df: DataFrame, bands: int, h: int, id_col: str =
     return buckets.join(df.select(F.col(id_col).alias("doc")).distinct(), "doc", "left_anti").select("doc", "buckets").unionByName(new)
 
 
-def lsh_candidates(buckets: DataFrame) -> DataFrame:
+def lsh_candidates(buckets: DataFrame, each: int = 1000) -> DataFrame:
     """Distinct pairs ``(a, b, score NULL)``, a < b, of documents that share a bucket. Null buckets match nothing.
 
-    Buckets of one document are dropped before the join by a count that is combined before its shuffle.
+    Buckets of one document are dropped before the join, and those of more than ``each`` are split (``meeting_pairs``).
     """
     rows = buckets.select("doc", "buckets").where("doc is not null and buckets is not null").distinct()
-    shared = rows.groupBy("buckets").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("buckets")
-    held = rows.join(shared, "buckets", "left_semi")
-    pairs = held.select(F.col("doc").alias("a"), "buckets").join(held.select(F.col("doc").alias("b"), "buckets"), "buckets").where("a < b")
-    return pairs.select("a", "b").distinct().withColumn("score", F.lit(None).cast("double"))
+    return meeting_pairs(rows, "buckets", each=each).select("a", "b").distinct().withColumn("score", F.lit(None).cast("double"))
 
 
 def lsh_query(buckets: DataFrame, ids: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
+from ..runtime import written
+from .salted import meeting_pairs, salted_join_unique
 
 
 def similar_pairs(df: DataFrame, least: float, id_col: str = "doc_id", tokens: str = "hashes") -> DataFrame:
@@ -21,17 +23,18 @@ def similar_pairs(df: DataFrame, least: float, id_col: str = "doc_id", tokens: s
         raise ValueError("the threshold must be over 0 and at most 1")
     sets = df.select(F.col(id_col).alias("doc"), F.array_distinct(F.filter(tokens, lambda x: x.isNotNull())).alias("s")).where("doc is not null and size(s) > 0")
     rows = sets.select("doc", F.explode("s").alias("t"))
-    often = rows.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    often = written(rows.groupBy("t").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+    line = (often.agg(F.sum("df")).first()[0] or 0) * 0.005
     # tokens of one document can't make a pair; they only fill the front of its order
-    ordered = rows.join(often.where("df > 1"), "t").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("k"))
+    ranked = salted_join_unique(rows, often.where("df > 1"), "t", heavy=often.where(F.col("df") > line).select("t"))
+    ordered = ranked.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("k"))
     sized = ordered.join(sets.select("doc", F.size("s").alias("n")), "doc")
     alone = F.col("n") - F.size("k")
     take = F.greatest(F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1 - alone, F.lit(0)).cast("int")
-    front = sized.select("doc", "n", F.explode(F.slice("k", F.lit(1), take)).alias("k")).select("doc", "n", F.col("k.t").alias("t"))
+    front = written(sized.select("doc", "n", F.explode(F.slice("k", F.lit(1), take)).alias("k")).select("doc", "n", F.col("k.t").alias("t")), "front")
     met = (
-        front.select("t", F.col("doc").alias("a"), F.col("n").alias("na"))
-        .join(front.select("t", F.col("doc").alias("b"), F.col("n").alias("nb")), "t")
-        .where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least) - F.lit(1e-9)))
+        meeting_pairs(front, "t", more=["n"])
+        .where(F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * F.lit(least) - F.lit(1e-9))
         .select("a", "b")
         .distinct()
     )

@@ -74,15 +74,31 @@ def keyed_record_counts(
     return merged.select(F.col("k").alias(key), "n_rows", "n_refs", "n_records", (F.col("n_rows") > line).alias("heavy"))
 
 
-def salted_join_unique(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", heavy_share: float = 0.02, salts: int = 32) -> DataFrame:
+def salted_join_unique(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", heavy_share: float = 0.02, heavy: DataFrame | None = None) -> DataFrame:
     """Join ``rows`` with a ``lookup`` that has one row per key, although some keys hold most of ``rows``.
 
-    Keys over ``heavy_share`` of the rows (at most ``1 / heavy_share`` of them) are joined by a broadcast of
-    just their lookup rows, so their rows never move; all others are joined by an ordinary shuffle. Rows
-    with a null key are dropped by ``inner`` and kept by ``left``.
+    Keys over ``heavy_share`` of the rows (at most ``1 / heavy_share`` of them, counted here unless ``heavy`` has them)
+    are joined by a broadcast of just their lookup rows, so their rows never move; all others are joined by an ordinary
+    shuffle. Rows with a null key are dropped by ``inner`` and kept by ``left``.
     """
-    heavy = heavy_keys(rows.where(F.col(key).isNotNull()), [key], heavy_share).select(key)
+    if heavy is None:
+        heavy = heavy_keys(rows.where(F.col(key).isNotNull()), [key], heavy_share).select(key)
     flagged = rows.join(F.broadcast(heavy.withColumn("__heavy", F.lit(True))), key, "left")
     light = flagged.where(F.col("__heavy").isNull()).drop("__heavy").join(lookup, key, how)
     hot = flagged.where(F.col("__heavy")).drop("__heavy").join(F.broadcast(lookup.join(F.broadcast(heavy), key, "left_semi")), key, how)
     return light.unionByName(hot)
+
+
+def meeting_pairs(rows: DataFrame, key: str, doc: str = "doc", more: Sequence[str] = (), each: int = 1000) -> DataFrame:
+    """``(a, b, a_x, b_x, ...)``, a < b: every two documents that share a key, once for each key; ``more`` names columns x.
+
+    The rows of a key that more than ``each`` documents share are split into blocks of about that size, by a hash of the
+    document, and every block meets the whole list in a task of its own; no pair is left out by that. ``rows`` are
+    distinct, and keys of one document are dropped by a count that is combined before its shuffle.
+    """
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    split = rows.join(sizes, key).withColumn("__blocks", F.ceil(F.col("__n") / each).cast("int"))
+    side = lambda name: [F.col(doc).alias(name), *(F.col(x).alias(f"{name}_{x}") for x in more)]
+    left = split.select(F.col(key).alias("__k"), *side("a"), F.pmod(F.xxhash64(doc), F.col("__blocks")).cast("int").alias("__block"))
+    right = split.select(F.col(key).alias("__k"), *side("b"), F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__block"))
+    return left.join(right, ["__k", "__block"]).where("a < b").drop("__k", "__block")

@@ -9,14 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..corpus import Corpus
 from ..functions import similarity as S
-from ..functions.hashing import hash_tokens, minhash_of_hashes, random_ints
+from ..functions.hashing import hash_tokens, minhash_generator, minhash_of_hashes, random_ints
 from ..functions.text import filenames, mark_chars, squish
-from ..functions.tokenizers import WORD, minimum_words, sentences, shingle, skip_shingle, word_count, words
+from ..functions.tokenizers import WORD, minimum_words, ngrams, sentences, shingle, skip_ngrams, skip_shingle, word_count, words
 from ..operators import index as I
 from ..operators import lsh as L
 from ..operators import pairwise as P
 from ..operators.align import align_pairs
+from ..operators.salted import salted_join_unique
 from ..runtime import parallelism, spread, table, written
 
 N, H, BANDS, SEED, LEAST = 5, 100, 25, 42, 0.5
@@ -26,31 +28,42 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a text; the condition is on the scanned column, so that no expression is pushed below the spreading."""
+    return spread(table(spark, d, "documents").select("doc_id", "text").where("text is not null"))
+
+
 def _w(spark: SparkSession, d: str, lowercase: bool = True) -> DataFrame:
-    return _docs(spark, d).select("doc_id", words(F.col("text"), lowercase).alias("w")).where("w is not null")
+    return _texts(spark, d).select("doc_id", words(F.col("text"), lowercase).alias("w"))
+
+
+def _long(w, tokens, least: int):
+    """Tokens of the texts of at least so many words, else null: a value, so that it isn't evaluated a second time as a filter."""
+    return F.when(F.size(w) >= least, tokens)
 
 
 def _joined(df: DataFrame, tokens) -> DataFrame:
-    return df.select("doc_id", F.size(tokens).alias("n"), F.md5(F.array_join(tokens, "|")).alias("tokens_md5"))
+    return df.select("doc_id", tokens.alias("t")).select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", "|")).alias("tokens_md5"))
 
 
 def text_classes(spark, d):
-    docs = _docs(spark, d).where("text is not null")
+    docs = _texts(spark, d)
     first = docs.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("class_id"))
-    return docs.select("doc_id", F.sha2("text", 256).alias("h")).join(first, "h").select("doc_id", "class_id")
+    return salted_join_unique(docs.select("doc_id", F.sha2("text", 256).alias("h")), first, "h").select("doc_id", "class_id")
 
 
 def representatives(spark, d) -> DataFrame:
-    docs = _docs(spark, d).where("text is not null")
-    first = docs.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    """The distinct texts by their smallest documents; a text that a third of the rows hold is combined before the shuffle."""
+    docs = table(spark, d, "documents").select("doc_id", "text").where("text is not null")
+    first = docs.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.any_value("text").alias("text"))
     # tokenizing costs far more than the bytes suggest by which small shuffles are merged into few partitions
-    return docs.join(first, "doc_id", "left_semi").repartition(parallelism(spark), "doc_id")
+    return first.select("doc_id", "text").repartition(parallelism(spark), "doc_id")
 
 
 def _hashed(spark, d, n: int = N) -> DataFrame:
     """Hashes of the n-grams of the distinct texts that are long enough, written once for the joins that follow."""
-    w = representatives(spark, d).select("doc_id", "text", words(F.col("text")).alias("w")).where(F.size("w") >= minimum_words(n))
-    return written(w.select("doc_id", hash_tokens(shingle(F.col("w"), n)).alias("hashes")), "hashes")
+    w = representatives(spark, d).select("doc_id", words(F.col("text")).alias("w"))
+    return written(w.select("doc_id", _long(F.col("w"), hash_tokens(shingle(F.col("w"), n)), minimum_words(n)).alias("hashes")), "hashes").where("hashes is not null")
 
 
 def _pairs(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -91,24 +104,49 @@ def tokenize_skip_ngrams_3_2(spark, d):
 
 
 def tokenize_sentences(spark, d):
-    s = _docs(spark, d).where("text is not null").select("doc_id", sentences(F.col("text")).alias("s"))
+    s = _texts(spark, d).select("doc_id", sentences(F.col("text")).alias("s"))
     return _joined(s, F.col("s"))
 
 
 def squished(spark, d):
-    return _docs(spark, d).where("text is not null").select("doc_id", F.md5(squish(F.col("text"))).alias("text_md5"))
+    return _texts(spark, d).select("doc_id", F.md5(squish(F.col("text"))).alias("text_md5"))
+
+
+def _corpus(spark, d, **options) -> Corpus:
+    return Corpus.from_dataframe(_docs(spark, d), **options)
 
 
 def short_docs_kept(spark, d):
-    return _docs(spark, d).where(word_count(F.col("text")) >= minimum_words(3)).select("doc_id")
+    return _corpus(spark, d).names()
 
 
 def short_docs_skipped(spark, d):
-    return _docs(spark, d).where(F.coalesce(word_count(F.col("text")) < minimum_words(3), F.lit(True))).select("doc_id")
+    return _corpus(spark, d).skipped
 
 
 def skip_ngram_skipped(spark, d):
-    return _docs(spark, d).where(F.coalesce(word_count(F.col("text")) < minimum_words(3, 2), F.lit(True))).select("doc_id")
+    return _corpus(spark, d, tokenizer=skip_ngrams, n=3, k=2).skipped
+
+
+def corpus_tokens(spark, d):
+    return _joined(_corpus(spark, d, n=5, lowercase=False, keep_tokens=True).docs, F.col("tokens"))
+
+
+def corpus_skip_ngrams(spark, d):
+    return _joined(_corpus(spark, d, tokenizer=skip_ngrams, n=3, k=2, keep_tokens=True).docs, F.col("tokens"))
+
+
+def corpus_retokenized(spark, d):
+    return _joined(_corpus(spark, d, n=5).tokenize(ngrams, n=4).docs, F.col("tokens"))
+
+
+def corpus_positions(spark, d):
+    return _corpus(spark, d).positions()
+
+
+def corpus_meta(spark, d):
+    c = _corpus(spark, d).with_doc_meta("parity", F.col("doc_id") % 2)
+    return c.docs.select("doc_id", F.array_join(F.transform(F.map_entries("meta"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("meta"))
 
 
 def file_names(spark, d):
@@ -121,8 +159,8 @@ def marked_words(spark, d):
 
 
 def hash_sums(spark, d):
-    h = hash_tokens(shingle(F.col("w"), 3))
-    return _w(spark, d).select("doc_id", F.aggregate(h, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("hash_sum"), F.size(h).alias("n"))
+    h = F.col("h")
+    return _w(spark, d).select("doc_id", hash_tokens(shingle(F.col("w"), 3)).alias("h")).select("doc_id", F.aggregate(h, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("hash_sum"), F.size(h).alias("n"))
 
 
 def minhash_signatures(spark, d):
@@ -130,8 +168,8 @@ def minhash_signatures(spark, d):
 
 
 def rehash_seed_2(spark, d):
-    h = _hashed(spark, d)
-    return h.select("doc_id", F.md5(F.array_join(minhash_of_hashes(F.col("hashes"), 20, 2), ",")).alias("signature_md5"))
+    c = Corpus.from_dataframe(representatives(spark, d), n=N, keep_tokens=True).rehash(minhash_generator(20, 2), "minhashes")
+    return c.slot("minhashes").select("doc_id", F.md5(F.array_join("minhashes", ",")).alias("signature_md5"))
 
 
 def lsh_buckets_of_documents(spark, d):
@@ -171,8 +209,9 @@ def lsh_compare_prescored(spark, d):
 
 
 def lsh_probability_grid(spark, d):
-    grid = spark.range(1, 11).select((F.col("id") / 10).alias("s")).crossJoin(spark.createDataFrame([(200, 50), (240, 80), (100, 25)], "h int, b int"))
-    return grid.select("h", "b", "s", F.round(1 - F.pow(1 - F.pow("s", F.col("h") / F.col("b")), F.col("b")), 9).alias("p"))
+    s = spark.range(1, 11).select((F.col("id") / 10).alias("s"))
+    one = [s.select(F.lit(h).alias("h"), F.lit(b).alias("b"), "s", F.round(L.lsh_probability(h, b, F.col("s")), 9).alias("p")) for h, b in ((200, 50), (240, 80), (100, 25))]
+    return one[0].unionByName(one[1]).unionByName(one[2])
 
 
 def lsh_threshold_grid(spark, d):
@@ -181,7 +220,7 @@ def lsh_threshold_grid(spark, d):
 
 
 def _three(spark, d) -> DataFrame:
-    return _w(spark, d).where(F.size("w") >= minimum_words(3)).select("doc_id", shingle(F.col("w"), 3).alias("tokens"))
+    return _w(spark, d).select("doc_id", _long(F.col("w"), shingle(F.col("w"), 3), minimum_words(3)).alias("tokens"))
 
 
 def token_index_of_documents(spark, d):
@@ -199,8 +238,8 @@ def token_frequencies(spark, d):
 
 
 def _five(spark, d) -> DataFrame:
-    reps = representatives(spark, d).select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= minimum_words(N))
-    return reps.select("doc_id", shingle(F.col("w"), N).alias("tokens"))
+    reps = representatives(spark, d).select("doc_id", words(F.col("text")).alias("w"))
+    return reps.select("doc_id", _long(F.col("w"), shingle(F.col("w"), N), minimum_words(N)).alias("tokens"))
 
 
 def token_index_candidates(spark, d):
@@ -244,8 +283,8 @@ def _items_and_docs(spark, d) -> DataFrame:
     """Distinct hashes of the benchmark's items (ids ``i...``) and of the distinct texts (ids ``d...``)."""
     items = table(spark, d, "benchmark").select(F.concat(F.lit("i"), F.col("item_id").cast("string")).alias("doc_id"), "text")
     docs = representatives(spark, d).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), "text").unionByName(items)
-    w = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= minimum_words(N))
-    return written(w.select("doc_id", F.array_distinct(hash_tokens(shingle(F.col("w"), N))).alias("hashes")), "hashes")
+    w = docs.select("doc_id", words(F.col("text")).alias("w"))
+    return written(w.select("doc_id", _long(F.col("w"), F.array_distinct(hash_tokens(shingle(F.col("w"), N))), minimum_words(N)).alias("hashes")), "hashes").where("hashes is not null")
 
 
 def benchmark_overlap(spark, d):
@@ -272,6 +311,24 @@ def pairwise_compare_items(spark, d):
     return out.select("a", "b", F.round("score", 9).alias("score"))
 
 
+def _items(spark, d) -> DataFrame:
+    w = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), words(F.col("text")).alias("w"))
+    return w.select("doc_id", _long(F.col("w"), hash_tokens(shingle(F.col("w"), N)), minimum_words(N)).alias("hashes")).where("hashes is not null")
+
+
+def pairwise_items(spark, d):
+    """All pairs of the benchmark's items, both ways, by a directional measure of two lists."""
+    out = P.pairwise_compare(_items(spark, d), S.ratio_of_matches, directional=True)
+    return out.select("a", "b", F.round("score", 9).alias("score"))
+
+
+def dense_matrix_of_items(spark, d):
+    """The dense matrix of the benchmark's items, a row's cells in the order of the ids, in billionths."""
+    m = P.dense_matrix(P.pairwise_candidates(P.pairwise_compare(_items(spark, d), S.jaccard_similarity)))
+    ids = sorted((c for c in m.columns if c != "row"), key=int)
+    return m.select("row", F.array_join(F.transform(F.array(*[F.col(f"`{c}`") for c in ids]), lambda x: F.round(x * 1e9).cast("bigint").cast("string")), ",").alias("cells"))
+
+
 def pairwise_candidates(spark, d):
     _, pairs = _pairs(spark, d)
     swapped = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.round("score", 9).alias("score"))
@@ -295,7 +352,7 @@ QUERIES = {
         word_counts, tokenize_words, tokenize_words_cased, tokenize_ngrams_3, tokenize_ngrams_5, tokenize_skip_ngrams_3_2, tokenize_sentences, squished, short_docs_kept, short_docs_skipped, skip_ngram_skipped,
         file_names, marked_words, hash_sums, minhash_signatures, rehash_seed_2, lsh_buckets_of_documents, lsh_candidates, lsh_query, lsh_subset, lsh_add, lsh_compare, lsh_compare_prescored, lsh_probability_grid,
         lsh_threshold_grid, token_index_of_documents, token_postings_of_documents, token_frequencies, token_index_candidates, token_index_candidates_all, token_index_partners, text_classes, jaccard_pairs, pairwise_measures, matching_tokens_pairs, benchmark_overlap, pairwise_benchmark, pairwise_compare_items, pairwise_candidates,
-        similarity_matrix, align_candidates,
+        similarity_matrix, align_candidates, corpus_tokens, corpus_skip_ngrams, corpus_retokenized, corpus_positions, corpus_meta, pairwise_items, dense_matrix_of_items,
     )
 }
 
@@ -422,6 +479,16 @@ ORACLE = {
     "pairwise_benchmark": f"""WITH {_HASHED}, bw AS (SELECT item_id, {_words_sql()} AS w FROM benchmark), bh AS (SELECT item_id, list_distinct({_hash_sql(_ngrams_sql('w', N))}) AS h FROM bw WHERE len(w) >= {minimum_words(N)}),
         bt AS (SELECT item_id, len(h) AS n, unnest(h) AS t FROM bh), dt AS (SELECT doc_id, unnest(list_distinct(hashes)) AS t FROM hd)
         SELECT item_id, doc_id, count(*) AS matches, round(count(*) / any_value(n), 9) AS ratio FROM bt JOIN dt USING (t) GROUP BY 1, 2 HAVING round(count(*) / any_value(n), 9) >= 0.1""",
+    "corpus_tokens": f"WITH c AS (SELECT doc_id, {_words_sql('text')} AS w FROM documents), t AS (SELECT doc_id, {_ngrams_sql('w', 5)} AS t FROM c WHERE len(w) >= 6) SELECT doc_id, len(t)::INTEGER AS n, md5(array_to_string(t, '|')) AS tokens_md5 FROM t",
+    "corpus_skip_ngrams": f"WITH {_W}, t AS (SELECT doc_id, {_skip_sql('w', 3, 2)} AS t FROM w WHERE len(w) >= 7) SELECT doc_id, len(t)::INTEGER AS n, md5(array_to_string(t, '|')) AS tokens_md5 FROM t",
+    "corpus_retokenized": f"WITH {_W}, t AS (SELECT doc_id, {_ngrams_sql('w', 4)} AS t FROM w WHERE len(w) >= 6) SELECT doc_id, len(t)::INTEGER AS n, md5(array_to_string(t, '|')) AS tokens_md5 FROM t",
+    "corpus_positions": f"SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents WHERE len({_words_sql('text')}) >= 4",
+    "corpus_meta": f"SELECT doc_id, 'hash_func=hash_tokens;id=' || doc_id || ';parity=' || (doc_id % 2) || ';tokenizer=ngrams' AS meta FROM documents WHERE len({_words_sql('text')}) >= 4",
+    "pairwise_items": f"""WITH bw AS (SELECT item_id, {_words_sql()} AS w FROM benchmark), bh AS (SELECT item_id AS id, {_hash_sql(_ngrams_sql('w', N))} AS h FROM bw WHERE len(w) >= {minimum_words(N)})
+        SELECT x.id AS a, y.id AS b, round(len(list_filter(y.h, lambda h: list_contains(x.h, h))) / len(y.h), 9) AS score FROM bh x JOIN bh y ON x.id <> y.id""",
+    "dense_matrix_of_items": f"""WITH bw AS (SELECT item_id, {_words_sql()} AS w FROM benchmark), bh AS (SELECT item_id AS id, list_distinct({_hash_sql(_ngrams_sql('w', N))}) AS h FROM bw WHERE len(w) >= {minimum_words(N)}),
+        c AS (SELECT x.id AS a, y.id AS b, CASE WHEN x.id = y.id THEN 1.0 ELSE len(list_intersect(x.h, y.h)) / len(list_distinct(list_concat(x.h, y.h))) END AS v FROM bh x JOIN bh y ON true)
+        SELECT a AS row, string_agg(round(v * 1e9)::BIGINT::VARCHAR, ',' ORDER BY b) AS cells FROM c GROUP BY a""",
     "pairwise_candidates": f"WITH {_PAIRS} SELECT a, b, round(s, 9) AS score FROM pr",
     "similarity_matrix": f"""WITH {_PAIRS}, q AS (SELECT a, b, round(s, 9) AS v FROM pr) SELECT a AS row, b AS col, v AS value FROM q UNION ALL SELECT b, a, v FROM q
         UNION ALL SELECT x, x, 1.0 FROM (SELECT a AS x FROM q UNION SELECT b FROM q)""",

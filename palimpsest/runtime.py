@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,12 +20,15 @@ def scratch_root(spark: SparkSession) -> str:
     """Folder for this application's intermediate tables.
 
     It lies in the folder that the cluster names in ``spark.checkpoint.dir``, which every executor can
-    reach. Only where that setting is absent (tests, local mode) a folder of the local machine is used.
+    reach. Only where that setting is absent and the master is local a folder of the machine is used; a cluster
+    without the setting is an error.
     """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         _ROOTS[app] = f"{base.rstrip('/')}/palimpsest-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_remove, spark, _ROOTS[app])
@@ -66,6 +71,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def job(spark: SparkSession, group: str, description: str | None = None) -> Iterator[None]:
+    """Jobs started inside belong to ``group``: they show in the UI under it, and ``cancel`` stops them."""
+    sc = spark.sparkContext
+    before = sc.getLocalProperty("spark.jobGroup.id"), sc.getLocalProperty("spark.job.description")
+    sc.setJobGroup(group, description or group, interruptOnCancel=True)
+    try:
+        yield
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", before[0])
+        sc.setLocalProperty("spark.job.description", before[1])
+
+
+def cancel(spark: SparkSession, group: str) -> None:
+    spark.sparkContext.cancelJobGroup(group)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once for an application: their Python need not find it otherwise."""
     app = spark.sparkContext.applicationId

@@ -19,15 +19,18 @@ def bucket_rows(docs: DataFrame, n: int, h: int, bands: int, seed: int, id_col:
     return lsh(signed, bands, h)
 
 
-def stream_buckets(docs: DataFrame, path: str, checkpoint: str, n: int = 5, h: int = 200, bands: int = 50, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> StreamingQuery:
+def stream_buckets(docs: DataFrame, path: str, checkpoint: str, n: int = 5, h: int = 200, bands: int = 50, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> StreamingQuery:
     """Append the buckets of a stream of documents to the Parquet table ``path``, batch by batch.
 
     A batch is one folder, written over when the batch is run again, so a restart adds nothing twice. A document that
-    arrives again has rows in both batches; ``current_buckets`` takes the latest.
+    arrives again has rows in both batches; ``current_buckets`` takes the latest. Of several versions in one batch the
+    one with the largest ``order_col`` counts, and of equal ones the largest text.
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        rows = bucket_rows(batch.dropDuplicates([id_col]), n, h, bands, seed, id_col, text_col)
+        order = F.struct(*[F.col(c) for c in (order_col, text_col) if c])
+        one = batch.groupBy(id_col).agg(F.max_by(text_col, order).alias(text_col))
+        rows = bucket_rows(one, n, h, bands, seed, id_col, text_col)
         rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.corpus import Corpus, is_candidates, is_corpus, is_documents, is_lsh_buckets
+from palimpsest.corpus import Corpus, is_candidates, is_corpus, is_document, is_documents, is_lsh_buckets
 from palimpsest.functions import hashing, tokenizers as T
 from palimpsest.operators.lsh import lsh
 from palimpsest.sources import text as sources
@@ -84,3 +84,76 @@ def test_streaming_equals_batch(spark, tmp_path):
     got = {(r.a, r.b) for r in spark.table("matches").collect()}
     assert ("0", "1") in got and ("1", "0") in got and ("0", "2") not in got
     assert current_buckets(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_arguments_reach_the_tokenizer(spark):
+    texts = {"six": "One Two three four five six", "five": "one two three four five", "eight": "a b c d e f g h"}
+    c = Corpus.from_texts(spark, texts, n=5, keep_tokens=True, lowercase=False)
+    assert ids(c.names()) == ["eight", "six"] and ids(c.skipped) == ["five"]
+    assert c.document("six").tokens == ["One Two three four five", "Two three four five six"]
+    skip = Corpus.from_texts(spark, texts, tokenizer=T.skip_ngrams, n=3, k=2, keep_tokens=True)
+    assert ids(skip.names()) == ["eight"] and skip.document("eight").tokens[0] == "a d g"
+    # without arguments skip n-grams have n 3 and k 1, so five words are enough
+    assert ids(Corpus.from_texts(spark, texts, tokenizer=T.skip_ngrams).skipped) == []
+    assert ids(Corpus.from_texts(spark, texts, tokenizer=T.words, n=7).names()) == ["eight"]
+    assert c.tokenize(T.ngrams, n=6).document("eight").tokens[0] == "a b c d e f"
+    with pytest.raises(TypeError, match="nope"):
+        Corpus.from_texts(spark, texts, nope=1)
+
+
+def test_repeated_ids_are_an_error(spark):
+    twice = sources.from_texts(spark, ["a b c d"]).unionByName(sources.from_texts(spark, ["a b c d"]))
+    with pytest.raises(ValueError, match="unique"):
+        Corpus.of(twice)
+    assert len(Corpus.of(twice, unique=False)) == 2
+
+
+def test_setters(spark):
+    c = Corpus.from_texts(spark, {"a": "one two three four", "b": "five six seven eight"}, keep_tokens=True)
+    d = c.with_slot("hashes", F.array(F.lit(7))).with_slot("content", spark.createDataFrame([("a", "new")], "i string, t string"))
+    assert d.document("a").hashes == [7] and d.document("a").content == "new" and d.document("b").content is None
+    assert {r.doc_id: r.has for r in d.has_each("content").collect()} == {"a": True, "b": False}
+    m = c.with_doc_meta("lang", F.lit("en")).with_doc_meta("id", spark.createDataFrame([("a", "x")], "i string, v string"))
+    assert m.document("a").meta["id"] == "x" and "id" not in m.document("b").meta and m.document("b").meta["lang"] == "en" and list(m.document("a").meta) == sorted(m.document("a").meta)
+    with pytest.raises(ValueError, match="slot"):
+        c.with_slot("nope", F.lit(1))
+
+
+def test_documents(spark):
+    c = Corpus.from_texts(spark, {"a": "one two three four " + "long " * 80})
+    doc = c.document("a")
+    assert is_document(doc) and not is_document(c) and doc.has("content") and not doc.has("tokens") and str(doc).startswith("one two")
+    assert len(repr(doc).split("content: ")[1]) == 200 and "tokenizer: ngrams" in repr(doc)
+    other = doc.with_slots(tokens=["x"], meta={"k": "v"})
+    assert other.tokens == ["x"] and other.meta["k"] == "v" and doc.tokens is None
+    assert is_documents(other.to_frame(spark)) and other.to_frame(spark).first().tokens == ["x"]
+    with pytest.raises(ValueError, match="slot"):
+        doc.has("nope")
+
+
+def test_positions(spark):
+    c = Corpus.from_texts(spark, [f"one two three {n}" for n in range(25)], meta={"k": "v"})
+    names = sorted(f"doc-{n}" for n in range(1, 26))
+    assert [r.doc_id for r in c.positions().orderBy("position").collect()] == names
+    assert sorted(r.position for r in c.positions().collect()) == list(range(25))
+    assert ids(c.take([0, 24]).names()) == [names[0], names[24]] and c.take([0]).meta == c.meta
+
+
+def test_jobs_have_groups(spark):
+    from palimpsest.runtime import cancel, job
+
+    with job(spark, "load", "loading documents"):
+        assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") == "load"
+        assert spark.range(3).count() == 3
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+    cancel(spark, "load")
+
+
+def test_versions_of_a_document_in_one_batch(spark, tmp_path):
+    rows = [("a", " ".join(f"old{n}" for n in range(9)), 1), ("a", " ".join(f"new{n}" for n in range(9)), 2), ("b", " ".join(f"b{n}" for n in range(9)), 1)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, v int")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    stream_buckets(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), out, str(tmp_path / "cp"), h=20, bands=10, order_col="v").awaitTermination()
+    want = bucket_rows(df.where("v = 2 or doc_id = 'b'"), 5, 20, 10, 42, "doc_id", "text")
+    assert sorted(map(tuple, current_buckets(spark, out).collect())) == sorted(map(tuple, want.collect()))

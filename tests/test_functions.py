@@ -104,3 +104,24 @@ def test_text_helpers(spark):
     assert one(spark, X.as_string(F.lit("﻿a\nb\n"))) == "a\nb"
     assert one(spark, X.mark_chars(F.lit("word"))) == "####"
     assert one(spark, X.squish(F.lit("  a \n\t b "))) == "a b"
+
+
+def test_counts_on_repeated_elements(spark):
+    import random
+
+    from palimpsest.functions import similarity as S
+
+    rng = random.Random(3)
+    rows = [([rng.choice("abcdef") for _ in range(rng.randrange(0, 12))], [rng.choice("cdefgh") for _ in range(rng.randrange(0, 12))]) for _ in range(60)]
+    rows += [(["a", None, "a"], ["a", None]), (None, ["a"]), (["a"], None), ([], [])]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    got = df.select("a", "b", S.count_matches(F.col("a"), F.col("b")).alias("n"), S.jaccard_bag_similarity(F.col("a"), F.col("b")).alias("bag"), S.matching_tokens(F.col("a"), F.col("b")).alias("m")).collect()
+    for r in got:
+        if r.a is None or r.b is None:
+            assert r.n is None and r.bag is None
+            continue
+        a, b = [x for x in r.a if x is not None], [x for x in r.b if x is not None]
+        assert r.n == sum(x in a for x in b)
+        assert [x for x in r.m if x is not None] == [x for x in b if x in a]
+        if a or b:
+            assert abs(r.bag - sum(min(a.count(x), b.count(x)) for x in set(a)) / (len(a) + len(b))) < 1e-12
