@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import os
 import tempfile
 import uuid
@@ -55,6 +56,37 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
 
 
+def put_note(spark: SparkSession, folder: str, number: int, note: dict) -> None:
+    """Write a small JSON file under a number; it is there as a whole or not at all."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(sc._jsc.hadoopConfiguration())
+    done, half = path(f"{folder}/{number:09d}.json"), path(f"{folder}/{number:09d}.part")
+    out = fs.create(half, True)
+    out.write(bytearray(json.dumps(note).encode()))
+    out.close()
+    fs.delete(done, False)
+    fs.rename(half, done)
+
+
+def last_note(spark: SparkSession, folder: str) -> dict | None:
+    """The note of the highest number in the folder."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    files = {f.getPath().getName(): f.getPath() for f in fs.listStatus(at)}
+    names = sorted(n for n in files if n.endswith(".json"))
+    if not names:
+        return None
+    stream = fs.open(files[names[-1]])
+    try:
+        return json.loads(sc._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
