@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import delete_path, path_exists, scratch_path, written
+from ..runtime import delete_path, last_note, put_note, scratch_path, written
 from .pairs import binary, capped, local_heavy, matrix
 
 NODE = 16
@@ -59,10 +59,22 @@ def _suffixes(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.explode("s").alias("x")).select(F.col("x.hi").alias("hi"), F.col("x.lo").alias("lo"), "node")
 
 
+def _hash(n: int) -> int:
+    """Spark's hash of an INT: Murmur3 for 32 bits with the seed 42."""
+    m = 0xFFFFFFFF
+    turn = lambda x, k: (x << k | x >> (32 - k)) & m
+    h = turn(42 ^ turn(n * 0xCC9E2D51 & m, 15) * 0x1B873593 & m, 13) * 5 + 0xE6546B64 & m
+    h ^= 4
+    h = (h ^ h >> 16) * 0x85EBCA6B & m
+    h = (h ^ h >> 13) * 0xC2B2AE35 & m
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
 class Segment:
     """An immutable suffix array: the table ``(hot, shard, seq, marks, symbols, checks, nodes)``, a row for a block of suffixes in order.
 
-    ``marks`` is how many hot buckets a block marks; one that stands in several blocks of the scan is marked by each.
+    ``marks`` is how many hot buckets a block marks.
     """
 
     schema = "hot boolean, shard int, seq int, marks int, symbols binary, checks binary, nodes binary"
@@ -71,9 +83,12 @@ class Segment:
         self.spark, self.path, self.shards, self.n_hot = spark, path, shards, n_hot
         self.name = f"suffixes_{uuid.uuid4().hex}"
         # a shard is named by a number that bucketBy puts into the bucket of the shard
-        ids = spark.range(24 * shards).select(F.col("id").cast("int").alias("id")).select("id", F.pmod(F.hash("id"), F.lit(shards)).alias("b")).groupBy("b").agg(F.min("id").alias("id"))
-        found = {r.b: r.id for r in ids.collect()}
-        self.labels = [found.get(b, min(found.values())) for b in range(shards)]
+        found: dict[int, int] = {}
+        n = 0
+        while len(found) < shards:
+            found.setdefault(_hash(n) % shards, n)
+            n += 1
+        self.labels = [found[b] for b in range(shards)]
         self.there = False
 
     def shard(self) -> Column:
@@ -88,7 +103,7 @@ class Segment:
         """``suffixes`` are distinct ``(hi, lo, node)``. Buckets whose hi is one of ``many`` are hot beforehand."""
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seq = 0
+            seq, marked = 0, None
             for t, big in capped(batches, ["spread", "shard", "hi", "lo"], cap):
                 spread, shard, hi, lo = (t[c].to_numpy() for c in ("spread", "shard", "hi", "lo"))
                 node = matrix(t["node"], np.uint8)
@@ -98,8 +113,11 @@ class Segment:
                     hot = big or bool(k % 2)
                     blocks = [(hot, hi[at], lo[at], node[at])]
                     if big and not k % 2:
-                        first = at[np.r_[True, (hi[at][1:] != hi[at][:-1]) | (lo[at][1:] != lo[at][:-1])]]
-                        blocks.append((False, hi[first], lo[first], np.zeros((len(first), NODE), np.uint8)))
+                        # a bucket that streams by in several pieces is marked once
+                        first = at[np.r_[marked != (hi[at[0]], lo[at[0]]), (hi[at][1:] != hi[at][:-1]) | (lo[at][1:] != lo[at][:-1])]]
+                        marked = hi[at[-1]], lo[at[-1]]
+                        if len(first):
+                            blocks.append((False, hi[first], lo[first], np.zeros((len(first), NODE), np.uint8)))
                     for flag, x, y, z in blocks:
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([flag]), pa.array([k // 2], pa.int32()), pa.array([seq], pa.int32()), pa.array([0 if flag or z.any() else len(x)], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary()), pa.array([z.tobytes()], pa.binary())],
@@ -117,8 +135,7 @@ class Segment:
         blocks = placed.repartition(self.shards, F.col("shard").cast("int")).sortWithinPartitions("spread", "shard", "hi", "lo", "node").mapInArrow(pack, self.schema)
         blocks.write.bucketBy(self.shards, "shard").mode("overwrite").option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
         self.there = True
-        # never fewer than there are
-        self.n_hot = (self.table().agg(F.sum("marks")).first()[0] or 0) + len(many)
+        self.n_hot = self.table().agg(F.sum("marks")).first()[0] or 0
 
     def table(self) -> DataFrame:
         if not self.there:
@@ -188,6 +205,15 @@ def _sets(column: str, least: int) -> Column:
     return F.transform(grown, lambda t: t["m"])
 
 
+def _stacked(segments: list[tuple[int, Segment]]) -> DataFrame:
+    """``(g, hi, lo, node)``: the hot buckets of some segments."""
+    rows = [s.rows(only_hot=True).withColumn("g", F.lit(g)) for g, s in segments]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 class BatchIndex:
     """Accepted history as immutable segments, so that a new batch is checked without reprocessing it.
 
@@ -195,21 +221,18 @@ class BatchIndex:
     taken in the segments that are no larger than it. So the segments' sizes fall, their number grows with the logarithm
     of the history, and a row is written again only when its segment at least doubles.
 
-    An index that is opened on the path of another goes on from its history: after each batch a manifest
-    ``(number, place, size, segment, shards, n_hot)`` is written, whole, under the batch's number, and the last complete
-    one is read.
+    An index that is opened on the path of another goes on from its history: after each batch a manifest of the segments
+    is written, whole, under the batch's number, and the last one is read.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, least: int = 3, cap: int = 256, each: int = EACH):
         self.spark, self.path, self.least, self.cap, self.each = spark, path or scratch_path(spark, "batches"), least, cap, each
         self.levels: list[tuple[int, Segment]] = []
         self.number = 0
-        if path_exists(spark, f"{self.path}/manifest"):
-            done = spark.read.schema("number long, place int, size long, segment string, shards int, n_hot long").parquet(f"{self.path}/manifest/*")
-            last = done.agg(F.max("number")).first()[0]
-            if last is not None:
-                held = done.where((F.col("number") == last) & (F.col("place") >= 0)).orderBy("place").collect()
-                self.number, self.levels = last, [(r.size, Segment(spark, f"{self.path}/{r.segment}", r.shards, r.n_hot)) for r in held]
+        note = last_note(spark, f"{self.path}/manifest")
+        if note:
+            self.number = note["number"]
+            self.levels = [(n, Segment(spark, f"{self.path}/{name}", shards, n_hot)) for n, name, shards, n_hot in note["segments"]]
 
     def segments(self) -> int:
         return len(self.levels)
@@ -240,15 +263,15 @@ class BatchIndex:
             symbol = F.struct("hi", "lo")
             mine = found.where("old is null").groupBy("g", "new").agg(F.collect_set(symbol).alias("h"))
             open_ = pairs.where(F.col("n") < self.least).join(mine, ["g", "new"]).where(F.col("n") + F.size("h") >= self.least)
-            for g, segment in hot:
-                here = open_.where(F.col("g") == g).select("new", "old", "n", F.explode("h").alias("x")).select("new", "old", "n", "x.hi", "x.lo")
-                met = here.join(segment.rows(only_hot=True).withColumnRenamed("node", "old"), ["old", "hi", "lo"]).groupBy("new", "old").agg((F.first("n") + F.count(F.lit(1))).alias("n"))
-                gone = gone.unionByName(met.where(F.col("n") >= self.least).select("new"))
-                if segment.n_hot >= self.least:
-                    theirs = segment.rows(only_hot=True).groupBy("node").agg(F.array_sort(F.collect_set(symbol)).alias("h")).where(F.size("h") >= self.least).select("h").distinct()
-                    sets = theirs.select(F.explode(_sets("h", self.least)).alias("k")).distinct()
-                    asked = mine.where((F.col("g") == g) & (F.size("h") >= self.least)).select("new", F.array_sort("h").alias("h")).select("new", F.explode(_sets("h", self.least)).alias("k"))
-                    gone = gone.unionByName(asked.join(sets, "k", "left_semi").select("new"))
+            here = open_.select("g", "new", "old", "n", F.explode("h").alias("x")).select("g", "new", "old", "n", "x.hi", "x.lo")
+            met = here.join(_stacked(hot).withColumnRenamed("node", "old"), ["g", "old", "hi", "lo"]).groupBy("g", "new", "old").agg((F.first("n") + F.count(F.lit(1))).alias("n"))
+            gone = gone.unionByName(met.where(F.col("n") >= self.least).select("new"))
+            many = [(g, s) for g, s in hot if s.n_hot >= self.least]
+            if many:
+                sets = lambda df, *keep: df.where(F.size("h") >= self.least).select(*keep, F.explode(_sets("h", self.least)).alias("k"))
+                theirs = _stacked(many).groupBy("g", "node").agg(F.array_sort(F.collect_set(symbol)).alias("h")).select("g", "h").distinct()
+                asked = sets(mine.select("g", "new", F.array_sort("h").alias("h")), "g", "new")
+                gone = gone.unionByName(asked.join(sets(theirs, "g").distinct(), ["g", "k"], "left_semi").select("new"))
         return gone.distinct().withColumnRenamed("new", "node")
 
     def add(self, batch: DataFrame, doc: str = "doc", bucket: str = "buckets") -> DataFrame:
@@ -275,9 +298,7 @@ class BatchIndex:
             old.drop()
 
     def _note(self) -> None:
-        rows = [(self.number, place, size, s.path.rpartition("/")[2], s.shards, s.n_hot) for place, (size, s) in enumerate(self.levels)]
-        # one file, so that a manifest is there as a whole or not at all
-        self.spark.createDataFrame(rows, "number long, place int, size long, segment string, shards int, n_hot long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{self.number}")
+        put_note(self.spark, f"{self.path}/manifest", self.number, {"number": self.number, "segments": [(n, s.path.rpartition("/")[2], s.shards, s.n_hot) for n, s in self.levels]})
 
     def close(self, files: bool = False) -> None:
         """Take the segments out of the session's catalog; the stored history stays unless ``files``."""

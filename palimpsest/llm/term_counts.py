@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokens import fold_token
-from ..runtime import delete_path, parallelism, path_exists, scratch_path
+from ..runtime import delete_path, last_note, parallelism, put_note, scratch_path
 
 POSTING = "token string, doc string, n bigint"
 COUNT = "token string, n_rows bigint, n_records bigint"
@@ -37,13 +37,9 @@ class TermCounts:
     def __init__(self, spark: SparkSession, path: str | None = None, each: int = 1_000_000):
         self.spark, self.path, self.each = spark, path or scratch_path(spark, "term-counts"), each
         self.number, self.buckets, self.levels = 0, 0, []
-        if path_exists(spark, f"{self.path}/manifest"):
-            done = spark.read.schema("number long, buckets int, place int, level int, part string").parquet(f"{self.path}/manifest/*")
-            last = done.agg(F.max("number")).first()[0]
-            if last is not None:
-                held = done.where(F.col("number") == last).orderBy("place").collect()
-                self.number, self.buckets = last, held[0].buckets
-                self.levels = [(r.level, r.part) for r in held]
+        note = last_note(spark, f"{self.path}/manifest")
+        if note:
+            self.number, self.buckets, self.levels = note["number"], note["buckets"], [tuple(x) for x in note["parts"]]
 
     def parts(self) -> int:
         return len(self.levels)
@@ -114,9 +110,7 @@ class TermCounts:
             self._summed(self._read("counts", old, COUNT)).write.option("compression", "zstd").parquet(f"{self.path}/counts/{part}")
             gone = old
         self.levels.append((level, part))
-        rows = [(self.number, self.buckets, place, lv, p) for place, (lv, p) in enumerate(self.levels)]
-        # one file, so that a manifest is there as a whole or not at all
-        self.spark.createDataFrame(rows, "number long, buckets int, place int, level int, part string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{self.number}")
+        put_note(self.spark, f"{self.path}/manifest", self.number, {"number": self.number, "buckets": self.buckets, "parts": self.levels})
         for p in gone:
             delete_path(self.spark, f"{self.path}/postings/{p}")
             delete_path(self.spark, f"{self.path}/counts/{p}")

@@ -172,6 +172,29 @@ def test_batches(spark, cap):
     assert bad == set(got) and index.segments() <= 3
 
 
+def test_shards_are_named_by_sparks_hash(spark):
+    from palimpsest.llm.batches import Segment, _hash
+
+    assert [r[0] for r in spark.range(50).select(F.hash(F.col("id").cast("int"))).collect()] == [_hash(n) for n in range(50)]
+    assert [_hash(n) % 7 for n in Segment(spark, "nowhere", 7).labels] == list(range(7))
+
+
+def test_many_shards_and_hot_buckets_known_beforehand(spark, monkeypatch):
+    """Small shards and blocks, and a bucket that a third of all nodes have."""
+    from palimpsest.llm import pairs as P
+
+    monkeypatch.setattr(P, "HEAVY_LEAST", 4)
+    rng = random.Random(9)
+    rows = [(f"d{n:03}", x) for n in range(160) for x in [f"own{n}"] + [f"f{n // 4}-{k}" for k in range(5) if rng.random() < 0.7] + (["hot1"] if n % 3 == 0 else []) + (["hot2", "hot3"] if n % 5 == 0 else [])]
+    batch = {f"d{n:03}": 1 + n % 4 for n in range(160)}
+    index, got = BatchIndex(spark, cap=10, each=16), set()
+    for n in range(1, 5):
+        mine = spark.createDataFrame([(d, x) for d, x in rows if batch[d] == n], "doc string, buckets string")
+        got |= {r.doc for r in index.add(mine).where("rejected").collect()}
+    assert got == replay(rows, batch)
+    assert any(s.shards > 4 for _, s in index.levels)
+
+
 def test_no_batches(spark):
     b, a = spark.createDataFrame([], "doc string, buckets string"), spark.createDataFrame([], "doc string, batch_no int")
     assert rejected_records(b, a).count() == 0
