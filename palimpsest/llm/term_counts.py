@@ -76,10 +76,8 @@ class TermCounts:
         )
         part = f"{self.number + 1}-{uuid.uuid4().hex[:8]}"
         if not self.buckets:
-            first = f"{self.path}/postings/first-{part}"
-            change.write.option("compression", "zstd").parquet(first)
-            change = self.spark.read.schema(POSTING).parquet(first)
-            self.buckets = max(parallelism(self.spark), -(-change.count() // self.each))
+            most = rows.agg(F.sum(F.coalesce(F.size("docs"), F.lit(0)).cast("bigint"))).first()[0] or 0
+            self.buckets = max(parallelism(self.spark), -(-most // self.each))
         new = self._write_postings(change, part)
         if self.levels:
             touched = [r[0] for r in new.select("bucket").distinct().collect()]
