@@ -1,6 +1,6 @@
 """SQL that gives the same rows as the queries of this subpackage, where SQL can.
 
-p8_ids, p9_clean and the queries of problem 10 have none: they need a tokenizer, positions inside texts or a model.
+p8_ids and the queries of problem 10 have none: they need a tokenizer or a model.
 """
 
 P1_PAIRS = """
@@ -36,6 +36,14 @@ runs AS (SELECT doc_id, min(p) AS start_word, max(p) + 20 - min(p) AS n_words FR
 """
 
 
+LEAKS = """
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
+ik AS (SELECT DISTINCT item_id, array_to_string(w[p + 1 : p + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(0, len(w) - 11)) AS p FROM i)),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+dk AS (SELECT doc_id, p, array_to_string(w[p + 1 : p + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 11)) AS p FROM d))
+"""
+
+
 def _p6() -> str:
     batches = """
 b AS (SELECT doc, min(batch_no) AS batch FROM arrivals WHERE batch_no IS NOT NULL AND doc IS NOT NULL GROUP BY doc),
@@ -74,9 +82,17 @@ def oracle_sql() -> dict[str, str]:
             SELECT min(y) AS group_doc, x AS doc FROM reach GROUP BY x""",
         "p6_found": _p6(),
         "p8_texts": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
-        "p9_found": """WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
-            ik AS (SELECT DISTINCT item_id, array_to_string(w[p + 1 : p + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(0, len(w) - 11)) AS p FROM i)),
-            d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
-            dk AS (SELECT doc_id, array_to_string(w[p + 1 : p + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 11)) AS p FROM d))
-            SELECT DISTINCT doc_id, item_id FROM dk JOIN ik USING (g)""",
+        "p9_found": f"WITH {LEAKS} SELECT DISTINCT doc_id, item_id FROM dk JOIN ik USING (g)",
+        # a text is cut into words and what separates them; a separator goes with the words on both sides of it
+        "p9_clean": f"""WITH {LEAKS}, hit AS (SELECT DISTINCT doc_id, p FROM dk WHERE g IN (SELECT g FROM ik)),
+            bad AS (SELECT DISTINCT doc_id, p + o AS k FROM hit, (SELECT unnest(range(0, 12)) AS o)),
+            n AS (SELECT doc_id, count(*) AS n_removed FROM bad GROUP BY 1),
+            c AS (SELECT doc_id, n_removed, n_removed > len(w) * 0.5 AS dropped FROM n JOIN d USING (doc_id)),
+            t AS (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+') AS s FROM documents JOIN n USING (doc_id)),
+            u AS (SELECT doc_id, unnest(s) AS s, unnest(range(0, len(s))) AS i FROM t),
+            v AS (SELECT *, regexp_matches(s, '^[\\p{{L}}\\p{{N}}]') AS is_word FROM u),
+            x AS (SELECT *, sum(is_word::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM v),
+            y AS (SELECT x.doc_id, s, i, b.k IS NOT NULL AND (is_word OR e.k IS NOT NULL) AS gone FROM x LEFT JOIN bad b ON b.doc_id = x.doc_id AND b.k = x.k LEFT JOIN bad e ON e.doc_id = x.doc_id AND e.k = x.k + 1),
+            z AS (SELECT doc_id, md5(coalesce(string_agg(s, '' ORDER BY i) FILTER (NOT gone), '')) AS m FROM y GROUP BY 1)
+            SELECT doc_id, n_removed, dropped, CASE WHEN NOT dropped THEN m END AS text_md5 FROM c JOIN z USING (doc_id)""",
     }
