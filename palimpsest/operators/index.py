@@ -43,7 +43,10 @@ def token_postings(df: DataFrame, id_col: str = "doc_id", tokens: str = "tokens"
     counts = written(_counts(rows, 1, None), "counts")
     line = (counts.agg(F.sum("n_docs")).first()[0] or 0) * share
     wanted = counts.where(F.col("n_docs") >= least) if most is None else counts.where(F.col("n_docs").between(least, most))
-    return salted_join_unique(rows, wanted.select("token"), "token", heavy=counts.where(F.col("n_docs") > line).select("token")).select("token", "doc")
+    heavy = counts.where(F.col("n_docs") > line).select("token")
+    if most is not None and most <= line:  # then the heaviest tokens aren't wanted
+        return rows.join(F.broadcast(heavy), "token", "left_anti").join(wanted.select("token"), "token", "left_semi").select("token", "doc")
+    return salted_join_unique(rows, wanted.select("token"), "token", heavy=heavy).select("token", "doc")
 
 
 def token_index_candidates(index: DataFrame, each: int = 1000) -> DataFrame:

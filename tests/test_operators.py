@@ -184,3 +184,46 @@ def test_hot_tokens_make_candidates_and_partners(spark):
     for each, dense in ((1000, 256), (20, 3), (8, 0)):
         assert {r.doc: r.n_partners for r in I.token_index_partners(df, each=each, dense=dense).collect()} == want
     assert I.token_index_partners(df.limit(0)).count() == 0
+
+
+def slow_alignment(a, b, match=2, mismatch=-1, gap=-1):
+    """The definition, cell by cell: a matrix of lists, the first best cell by column, the walk back to the largest neighbour."""
+    m = [[0] * (len(a) + 1) for _ in range(len(b) + 1)]
+    for i in range(1, len(b) + 1):
+        for j in range(1, len(a) + 1):
+            m[i][j] = max(0, m[i - 1][j - 1] + (match if a[j - 1] == b[i - 1] else mismatch), m[i - 1][j] + gap, m[i][j - 1] + gap)
+    best = max(map(max, m))
+    if not best:
+        return "", "", 0, 0
+    places = [(j, i) for i in range(len(b) + 1) for j in range(len(a) + 1) if m[i][j] == best]
+    j, i = min(places)
+    left, right = [a[j - 1]], [b[i - 1]]
+    while m[i - 1][j - 1]:
+        top = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1])
+        if m[i - 1][j] == top:
+            i -= 1
+            left.append("#" * len(b[i - 1]))
+            right.append(b[i - 1])
+        elif m[i][j - 1] == top:
+            j -= 1
+            left.append(a[j - 1])
+            right.append("#" * len(a[j - 1]))
+        else:
+            i, j = i - 1, j - 1
+            x, y = a[j - 1], b[i - 1]
+            left += [x] if x == y else ["#" * len(y), x]
+            right += [y] if x == y else [y, "#" * len(x)]
+    return " ".join(left[::-1]), " ".join(right[::-1]), best, len(places)
+
+
+def test_alignment_equals_the_definition(spark):
+    import random
+
+    rng = random.Random(17)
+    texts = [" ".join(rng.choice(["an", "bee", "sea", "delta", "e"]) for _ in range(rng.randint(0, 14))) for _ in range(40)]
+    pairs = [(x, y) for x in range(40) for y in range(40) if x < y and rng.random() < 0.3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = align_pairs(spark.createDataFrame(pairs, "a long, b long"), docs).collect()
+    assert len(got) == len(pairs)
+    for r in got:
+        assert (r.a_edits, r.b_edits, r.score, r.n_optimal) == slow_alignment(texts[r.a].split(), texts[r.b].split())
