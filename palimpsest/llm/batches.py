@@ -288,7 +288,9 @@ class BatchIndex:
             merged.append(old)
             rows = rows.unionByName(old.rows())
             n += held
-        segment = Segment(self.spark, f"{self.path}/{self.number}", max(1, -(-n // self.each)))
+        # shards of a few megabytes; of very long arrays larger ones, so that their names stay a short list
+        each = min(max(self.each, n // 2000), 16 * self.each)
+        segment = Segment(self.spark, f"{self.path}/{self.number}", max(1, -(-n // each)))
         # only of a long array can one bucket fill a task; then the hottest ones (a bounded list) are known before the shuffle
         many = local_heavy(rows, ["hi"], lambda b: b.column("hi").to_numpy(zero_copy_only=False).view(np.uint64)[:, None], 0.005) if n > 16 * self.each else np.empty(0, np.uint64)
         segment.write(rows, self.cap, many)

@@ -77,11 +77,13 @@ class TermCounts:
         part = f"{self.number + 1}-{uuid.uuid4().hex[:8]}"
         if not self.buckets:
             most = rows.agg(F.sum(F.coalesce(F.size("docs"), F.lit(0)).cast("bigint"))).first()[0] or 0
-            self.buckets = max(parallelism(self.spark), -(-most // self.each))
+            # each bucket is a folder: of very many postings larger ones, so that the folders stay a short list
+            self.buckets = max(parallelism(self.spark), min(-(-most // self.each), 2000), -(-most // (50 * self.each)))
         new = self._write_postings(change, part)
         if self.levels:
             touched = [r[0] for r in new.select("bucket").distinct().collect()]
-            before = self._postings([p for _, p in self.levels]).where(F.col("bucket").isin(touched))
+            before = self._postings([p for _, p in self.levels])
+            before = before.where(F.col("bucket").isin(touched)) if len(touched) < self.buckets else before
             had = before.join(new.select("token", "doc", "bucket"), ["token", "doc", "bucket"], "left_semi").groupBy("token", "doc").agg(F.sum("n").alias("had"))
             both = new.join(had, ["token", "doc"], "left").select("token", F.coalesce("had", F.lit(0)).alias("had"), "n")
         else:
