@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .salted import meeting_pairs
+from .salted import meeting_pairs, split_join
 
 
 def check_banding(h: int, b: int) -> int:
@@ -59,9 +59,13 @@ def lsh_candidates(buckets: DataFrame, each: int = 1000) -> DataFrame:
 
 
 def lsh_query(buckets: DataFrame, ids: DataFrame) -> DataFrame:
-    """``(a, b, score NULL)``: for each id of the one-column frame ``ids`` the documents that share a bucket with it."""
+    """``(a, b, score NULL)``: for each id of the one-column frame ``ids`` the documents that share a bucket with it.
+
+    A bucket of very many documents is split (``split_join``).
+    """
     q = ids.toDF("a").distinct().join(buckets.select(F.col("doc").alias("a"), "buckets"), "a").distinct()
-    return q.join(buckets.select(F.col("doc").alias("b"), "buckets"), "buckets").where("a != b").select("a", "b").distinct().withColumn("score", F.lit(None).cast("double"))
+    met = split_join(q, buckets.select(F.col("doc").alias("b"), "buckets").where("buckets is not null"), "buckets", "b")
+    return met.where("a != b").select("a", "b").distinct().withColumn("score", F.lit(None).cast("double"))
 
 
 def lsh_subset(candidates: DataFrame) -> DataFrame:

@@ -49,12 +49,12 @@ def compare(pairs: DataFrame, docs: DataFrame, f: Callable[[Column, Column], Col
     return both.select("a", "b", f(F.col("x"), F.col("y")).alias("score"))
 
 
-def pairwise_compare(docs: DataFrame, f: Callable[[Column, Column], Column], queries: DataFrame | None = None, directional: bool = False, id_col: str = "doc_id", on: str = "hashes", most: int = 20_000) -> DataFrame:
+def pairwise_compare(docs: DataFrame, f: Callable[[Column, Column], Column], queries: DataFrame | None = None, directional: bool = False, id_col: str = "doc_id", on: str = "hashes", most: int = 20_000, elements: int = 20_000_000) -> DataFrame:
     """``(a, b, score)`` of any measure f over all pairs: a < b, or both directions when ``directional``.
 
     The number of pairs is the square of the documents, so this is for small corpora: with more than ``most`` documents
     (counted) it raises and names the operators that scale. With ``queries`` (one column of at most ``most`` ids) these
-    documents are compared with all others instead; the queries are then broadcast.
+    documents are compared with all others instead. What is broadcast has at most ``elements`` array elements (counted).
     """
     d = docs.select(F.col(id_col).alias("b"), F.col(on).alias("y"))
     if queries is None:
@@ -66,6 +66,10 @@ def pairwise_compare(docs: DataFrame, f: Callable[[Column, Column], Column], que
         if ids.count() > most:
             raise ValueError(f"more than {most} queries")
         asked = d.join(ids, "b", "left_semi")
+    kind = asked.schema["y"].dataType.typeName()
+    held = asked.agg(F.sum(F.size("y") if kind == "array" else F.length(F.col("y").cast("string")))).first()[0] or 0
+    if held > elements:
+        raise ValueError(f"more than {elements} elements to compare with: give fewer queries at a time")
     left = asked.select(F.col("b").alias("a"), F.col("y").alias("x"))
     on_ = F.col("a") != F.col("b") if directional or queries is not None else F.col("a") < F.col("b")
     return d.join(F.broadcast(left), on_).select("a", "b", f(F.col("x"), F.col("y")).alias("score"))

@@ -102,3 +102,15 @@ def meeting_pairs(rows: DataFrame, key: str, doc: str = "doc", more: Sequence[st
     left = split.select(F.col(key).alias("__k"), *side("a"), F.pmod(F.xxhash64(doc), F.col("__blocks")).cast("int").alias("__block"))
     right = split.select(F.col(key).alias("__k"), *side("b"), F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__block"))
     return left.join(right, ["__k", "__block"]).where("a < b").drop("__k", "__block")
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, by: str, each: int = 1000) -> DataFrame:
+    """Inner join on ``key`` where a key may hold a large part of ``right``.
+
+    The rows of a key with more than ``each`` on the right are split into blocks by a hash of the column ``by``, and the
+    rows of the left are sent to every block of their key.
+    """
+    sizes = right.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / each).cast("int").alias("__blocks"))
+    asked = left.join(sizes, key).withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).drop("__blocks")
+    placed = right.join(sizes.where("__blocks > 1"), key, "left").withColumn("__block", F.pmod(F.xxhash64(by), F.coalesce("__blocks", F.lit(1))).cast("int")).drop("__blocks")
+    return asked.join(placed, [key, "__block"]).drop("__block")

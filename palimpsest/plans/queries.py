@@ -291,8 +291,9 @@ def benchmark_overlap(spark, d):
     """A stated query set, the benchmark's items, against all documents, by a directional measure: every pair with a common 5-gram."""
     rows = _items_and_docs(spark, d).select("doc_id", F.size("hashes").alias("n"), F.explode("hashes").alias("t"))
     asked = rows.where("doc_id like 'i%'").select(F.col("doc_id").alias("item"), F.col("n").alias("n_item"), "t")
-    # the items are a stated set whose size doesn't follow the documents
-    met = rows.where("doc_id like 'd%'").join(F.broadcast(asked), "t").groupBy("item", "doc_id", "n_item").agg(F.count(F.lit(1)).alias("matches"))
+    # the items are a stated set; a large one is joined by a shuffle
+    small = asked.count() <= 1_000_000
+    met = rows.where("doc_id like 'd%'").join(F.broadcast(asked) if small else asked, "t").groupBy("item", "doc_id", "n_item").agg(F.count(F.lit(1)).alias("matches"))
     return met.select(F.substring("item", 2, 20).cast("bigint").alias("item_id"), F.substring("doc_id", 2, 20).cast("bigint").alias("doc_id"), "matches", F.round(F.col("matches") / F.col("n_item"), 9).alias("ratio"))
 
 

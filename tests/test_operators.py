@@ -227,3 +227,29 @@ def test_alignment_equals_the_definition(spark):
     assert len(got) == len(pairs)
     for r in got:
         assert (r.a_edits, r.b_edits, r.score, r.n_optimal) == slow_alignment(texts[r.a].split(), texts[r.b].split())
+
+
+def test_hot_bucket_is_split(spark):
+    rows = [(n, "hot") for n in range(300)] + [(n, f"b{n // 2}") for n in range(300)] + [(7, None)]
+    b = spark.createDataFrame(rows, "doc long, buckets string")
+    got = L.lsh_candidates(b, each=32)
+    assert got.count() == 300 * 299 // 2
+    q = L.lsh_query(b, spark.createDataFrame([(5,), (999,)], "x long"))
+    assert q.count() == 299 and {r.a for r in q.collect()} == {5}
+    pairs = salted.split_join(spark.createDataFrame([("hot", 1), ("b0", 2), ("none", 3)], "k string, a int"), b.withColumnRenamed("buckets", "k"), "k", "doc", each=10)
+    assert pairs.where("a = 1").count() == 300 and pairs.where("a = 2").count() == 2 and pairs.where("a = 3").count() == 0
+
+
+def test_bound_of_a_broadcast(spark):
+    s = signed(spark)
+    with pytest.raises(ValueError, match="elements"):
+        P.pairwise_compare(s, S.jaccard_similarity, elements=10)
+
+
+def test_sink(spark, tmp_path):
+    from palimpsest.sources.text import write_table
+
+    df = spark.createDataFrame([(n, f"b{n % 3}") for n in range(30)], "doc long, buckets string")
+    for options in ({}, {"bucket_column": "buckets"}, {"bucket_column": "buckets", "parts": 4}):
+        write_table(df, str(tmp_path / "t"), **options)
+        assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).collect())) == sorted(map(tuple, df.collect()))
