@@ -151,6 +151,7 @@ CASES = [
     ("Mail h.fielding+boats (at) yard.example or ring +13125550177, ext. 9.", {("email", "h.fielding+boats (at) yard.example"), ("phone", "+13125550177")}),
     ("The Victoria Dock Company and the New Forest Railway met in 1846; lot 12.340.118 was withdrawn.", set()),
     ("Buy 40 sacks @ 12 dollars before the third of June, 1902, see pages 101-144.", set()),
+    ("quentin.hale@yard.example wrote; the caller (0171 5550123) did not.", {("email", "quentin.hale@yard.example"), ("phone", "0171 5550123")}),
     ("", set()),
 ]
 
