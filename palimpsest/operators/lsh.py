@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from ..functions.hashing import random_ints
 from .salted import meeting_pairs, split_join
 
 
@@ -31,6 +36,46 @@ def lsh_threshold(h: int, b: int) -> float:
     return (1 / b) ** (1 / (h / b))
 
 
+def sign(df: DataFrame, n: int = 200, seed: int = 42, hashes: str = "hashes", out: str = "minhashes", rows: int = 256) -> DataFrame:
+    """``df`` with the signatures of its hashes, the same as ``minhash_of_hashes``: null for null or empty hashes.
+
+    The n passes over all hashes run in numpy on Arrow batches, ``rows`` documents at a time; as expressions they are n
+    evaluations of a lambda for each hash.
+    """
+    if n < 1:
+        raise ValueError("a signature needs at least one hash")
+    ints = np.array(random_ints(n, seed), np.int64)
+    schema = StructType([*df.schema.fields, StructField(out, ArrayType(LongType()))])
+    most = np.iinfo(np.int64).max
+
+    def signed(b: pa.RecordBatch) -> pa.RecordBatch:
+        lists = b.column(b.schema.get_field_index(hashes))
+        lens = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        flat = lists.flatten()
+        none = flat.is_null().to_numpy(zero_copy_only=False) if flat.null_count else None
+        flat = flat.fill_null(0).to_numpy(zero_copy_only=False)
+        there = lens > 0
+        begin = (np.cumsum(lens) - lens)[there]
+        sig = np.empty((len(begin), n), np.int64)
+        for j, r in enumerate(ints if len(begin) else []):
+            x = flat ^ r
+            if none is not None:
+                x[none] = most
+            sig[:, j] = np.minimum.reduceat(x, begin)
+        if none is not None:
+            there[there] = sig[:, 0] != most
+            sig = sig[sig[:, 0] != most]
+        at = pa.array(np.r_[0, np.cumsum(there * n)].astype(np.int32), mask=np.r_[~there, False])
+        return pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(at, pa.array(sig.ravel()))], names=[*b.schema.names, out])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, rows):
+                yield signed(b.slice(lo, rows))
+
+    return df.mapInArrow(run, schema)
+
+
 def lsh(df: DataFrame, bands: int, h: int, id_col: str = "doc_id", minhashes: str = "minhashes") -> DataFrame:
     """``(doc, buckets)``, one row for each document and band; the band's number is part of the hash.
 
@@ -54,8 +99,7 @@ def lsh_candidates(buckets: DataFrame, each: int = 1000) -> DataFrame:
 
     Buckets of one document are dropped before the join, and those of more than ``each`` are split (``meeting_pairs``).
     """
-    rows = buckets.select("doc", "buckets").where("doc is not null and buckets is not null").distinct()
-    return meeting_pairs(rows, "buckets", each=each).select("a", "b").distinct().withColumn("score", F.lit(None).cast("double"))
+    return meeting_pairs(buckets, "buckets", each=each).select("a", "b").distinct().withColumn("score", F.lit(None).cast("double"))
 
 
 def lsh_query(buckets: DataFrame, ids: DataFrame) -> DataFrame:

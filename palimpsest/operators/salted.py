@@ -93,11 +93,13 @@ def meeting_pairs(rows: DataFrame, key: str, doc: str = "doc", more: Sequence[st
     """``(a, b, a_x, b_x, ...)``, a < b: every two documents that share a key, once for each key; ``more`` names columns x.
 
     The rows of a key that more than ``each`` documents share are split into blocks of about that size, by a hash of the
-    document, and every block meets the whole list in a task of its own; no pair is left out by that. ``rows`` are
-    distinct, and keys of one document are dropped by a count that is combined before its shuffle.
+    document, and every block meets the whole list in a task of its own; no pair is left out by that. Rows of keys that
+    stand alone, most of them as a rule, are dropped first, by counts of the keys' hashes that are combined before their
+    shuffle; repeated rows only then.
     """
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    split = rows.join(sizes, key).withColumn("__blocks", F.ceil(F.col("__n") / each).cast("int"))
+    named = rows.select(key, doc, *more).where(F.col(key).isNotNull() & F.col(doc).isNotNull()).withColumn("__h", F.xxhash64(key))
+    sizes = named.groupBy("__h").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    split = named.join(sizes, "__h").drop("__h").distinct().withColumn("__blocks", F.ceil(F.col("__n") / each).cast("int"))
     side = lambda name: [F.col(doc).alias(name), *(F.col(x).alias(f"{name}_{x}") for x in more)]
     left = split.select(F.col(key).alias("__k"), *side("a"), F.pmod(F.xxhash64(doc), F.col("__blocks")).cast("int").alias("__block"))
     right = split.select(F.col(key).alias("__k"), *side("b"), F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__block"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..corpus import Corpus
 from ..functions import similarity as S
-from ..functions.hashing import hash_tokens, minhash_generator, minhash_of_hashes, random_ints
+from ..functions.hashing import hash_tokens, minhash_generator, random_ints
 from ..functions.text import filenames, mark_chars, squish
 from ..functions.tokenizers import WORD, minimum_words, ngrams, sentences, shingle, skip_ngrams, skip_shingle, word_count, words
 from ..operators import index as I
@@ -53,17 +53,24 @@ def text_classes(spark, d):
 
 
 def representatives(spark, d) -> DataFrame:
-    """The distinct texts by their smallest documents; a text that a third of the rows hold is combined before the shuffle."""
+    """The distinct texts by their smallest documents. Texts move once, by their documents, so that copies don't meet.
+
+    The number of partitions is given: tokenizing costs far more than the bytes suggest by which small shuffles are merged.
+    """
     docs = table(spark, d, "documents").select("doc_id", "text").where("text is not null")
-    first = docs.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.any_value("text").alias("text"))
-    # tokenizing costs far more than the bytes suggest by which small shuffles are merged into few partitions
-    return first.select("doc_id", "text").repartition(parallelism(spark), "doc_id")
+    first = docs.groupBy(F.unhex(F.sha2("text", 256)).alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return docs.repartition(parallelism(spark), "doc_id").join(first, "doc_id", "left_semi")
 
 
-def _hashed(spark, d, n: int = N) -> DataFrame:
-    """Hashes of the n-grams of the distinct texts that are long enough, written once for the joins that follow."""
+def _hashes(spark, d, n: int = N) -> DataFrame:
+    """Hashes of the n-grams of the distinct texts, null for those that are too short."""
     w = representatives(spark, d).select("doc_id", words(F.col("text")).alias("w"))
-    return written(w.select("doc_id", _long(F.col("w"), hash_tokens(shingle(F.col("w"), n)), minimum_words(n)).alias("hashes")), "hashes").where("hashes is not null")
+    return w.select("doc_id", _long(F.col("w"), hash_tokens(shingle(F.col("w"), n)), minimum_words(n)).alias("hashes"))
+
+
+def _hashed(spark, d, n: int = N) -> DataFrame:
+    """The same of the texts that are long enough, written once for the joins that follow."""
+    return written(_hashes(spark, d, n), "hashes").where("hashes is not null")
 
 
 def _pairs(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -72,7 +79,7 @@ def _pairs(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 def _signed(spark, d) -> DataFrame:
-    return _hashed(spark, d).select("doc_id", "hashes", minhash_of_hashes(F.col("hashes"), H, SEED).alias("minhashes"))
+    return L.sign(_hashes(spark, d), H, SEED).where("minhashes is not null")
 
 
 def _buckets(spark, d) -> DataFrame:

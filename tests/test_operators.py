@@ -253,3 +253,13 @@ def test_sink(spark, tmp_path):
     for options in ({}, {"bucket_column": "buckets"}, {"bucket_column": "buckets", "parts": 4}):
         write_table(df, str(tmp_path / "t"), **options)
         assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_signatures_equal_the_expression(spark):
+    rows = [(n, [(n * k * 2654435761) % 2**32 for k in range(n % 7)], "x") for n in range(40)] + [(50, None, "x"), (51, [None], "x"), (52, [5, None, 9], "x")]
+    df = spark.createDataFrame(rows, "doc_id long, hashes array<bigint>, sig string")
+    want = {r.doc_id: r.m for r in df.select("doc_id", minhash_of_hashes(F.col("hashes"), 12, 3).alias("m")).collect()}
+    for block in (1, 3, 256):
+        got = {r.doc_id: r.minhashes for r in L.sign(df, 12, 3, rows=block).collect()}
+        assert {k: v for k, v in got.items() if k != 51} == {k: v for k, v in want.items() if k != 51} and got[51] is None
+    assert L.sign(df.limit(0), 12).count() == 0
