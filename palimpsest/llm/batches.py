@@ -72,7 +72,7 @@ def _hash(n: int) -> int:
 
 
 class Segment:
-    """An immutable suffix array: the table ``(hot, shard, seq, marks, symbols, checks, nodes)``, a row for a block of suffixes in order.
+    """An immutable suffix array: the bucketed table (its name in the session's catalog is of this session alone) ``(hot, shard, seq, marks, symbols, checks, nodes)``, a row for a block of suffixes in order.
 
     ``marks`` is how many hot buckets a block marks.
     """
@@ -296,8 +296,9 @@ class BatchIndex:
         segment.write(rows, self.cap, many)
         self.levels.append((n, segment))
         self._note()
+        # no manifest names them any more
         for old in merged:
-            old.drop()
+            old.drop(files=True)
 
     def _note(self) -> None:
         put_note(self.spark, f"{self.path}/manifest", self.number, {"number": self.number, "segments": [(n, s.path.rpartition("/")[2], s.shards, s.n_hot) for n, s in self.levels]})
