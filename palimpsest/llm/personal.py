@@ -5,7 +5,8 @@ capitalised words, initials and particles is a source of names, every run of dig
 span gets format and context features; the name lexicon is a feature, too, not a condition. Boosted trees score the
 spans, one model for a kind, and a threshold calibrated on held-out rows selects; of overlapping spans the best score
 wins. The models are trained when the operator starts, on ``n_train`` labelled texts made by ``personal_training``
-(a bounded sample, the bound is this parameter), and kept for the next use with an equal lexicon.
+(a bounded sample, the bound is this parameter), and kept for the next use with an equal lexicon. What is found in a text
+depends on the text and the whole lexicon alone: neither on the other texts nor on the way the lexicon is sent.
 
 Defined cases: a null, empty or clean text gives no rows and stays as it is; a repeated string counts once for
 a document; long texts are scanned whole; null ids are kept in the redaction and left out of the findings; extra
@@ -14,6 +15,8 @@ columns are ignored; null words of the lexicon are left out, and an empty lexico
 
 from __future__ import annotations
 
+import copy
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import written
 from .boosting import Boosted, best_threshold
 from .personal_words import ARTICLES, CALENDAR, CUES, FAMILY, FUNCTION, GIVEN, INSTITUTIONS, LOCATIVE, PARTICLES, STREETS, TITLES
 
@@ -75,6 +79,20 @@ _GERMAN_ENDS = tuple(STREETS["de"])
 _GERMAN_STARTS = ("Am ", "An de", "Auf dem ", "Zum ", "Zur ", "Im ", "In der ", "Unter den ", "Hinter dem ", "Am\n", "Im\n", "Zum\n", "Zur\n")
 
 
+def keys(w: str) -> tuple[str, str, str]:
+    """What a word of a text is looked up by: the whole, its first and its last part."""
+    base = w.lower().removesuffix("'s").removesuffix("’s")
+    return base, base.split("-", 1)[0], base.rsplit("-", 1)[-1]
+
+
+Traits = tuple[Counter, Counter, Counter]
+
+
+def traits_of(given: set[str], family: set[str]) -> Traits:
+    """How often ends and starts of family names and ends of given names occur."""
+    return Counter(w[-n:] for w in family for n in (2, 3, 4)), Counter(w[:4] for w in family), Counter(w[-2:] for w in given | GIVEN)
+
+
 @dataclass
 class Names:
     """Known given and family names (the lexicon's and a few common ones), and how often the ends of the lexicon's occur."""
@@ -87,10 +105,11 @@ class Names:
     known: dict = field(default_factory=dict)
 
     @classmethod
-    def of(cls, rows: list[tuple[str, str]]) -> "Names":
+    def of(cls, rows: list[tuple[str, str]], traits: Traits | None = None) -> "Names":
+        """Of a part of a lexicon, ``traits`` are those of the whole."""
         given = {w.lower() for w, k in rows if w and k == "given"}
         family = {w.lower() for w, k in rows if w and k == "family"}
-        return cls(given | GIVEN, family | FAMILY, Counter(w[-n:] for w in family for n in (2, 3, 4)), Counter(w[:4] for w in family), Counter(w[-2:] for w in given | GIVEN))
+        return cls(given | GIVEN, family | FAMILY, *(traits or traits_of(given, family)))
 
     def without(self, share: float, rng) -> "Names":
         """The same with a share of the names unknown."""
@@ -101,9 +120,7 @@ class Names:
         """Features of one word; an unknown one is all zeros but for its form."""
         got = self.known.get(w)
         if got is None:
-            low = w.lower()
-            base = low.removesuffix("'s").removesuffix("’s")
-            last, first = base.rsplit("-", 1)[-1], base.split("-", 1)[0]
+            base, first, last = keys(w)
             got = (
                 int(base in self.given or first in self.given), int(base in self.family or last in self.family), _level(self.ends[last[-4:]]), _level(self.ends[last[-3:]]), min(31, self.ends[last[-2:]] // 4), _level(self.starts[last[:4]]), _level(self.given_ends[base[-2:]]),
                 int(base in INSTITUTIONS or base.removesuffix("s") in INSTITUTIONS), int(base in FUNCTION) + 2 * int(base in CALENDAR), int(base.strip(".") in TITLES), int(w.isupper() and len(w) > 2), min(15, len(w)), int("-" in w), int(base in NEVER),
@@ -238,6 +255,11 @@ def addresses(text: str) -> Iterator[Span]:
                 ]
 
 
+def words_in(text: str) -> set[str]:
+    """The words that ``names_in`` looks up."""
+    return {x.group() for m in RUN.finditer(text) for x in ITEM.finditer(text, m.start(), m.end()) if x.group(3)}
+
+
 def names_in(text: str, lex: Names) -> Iterator[Span]:
     for m in RUN.finditer(text):
         toks, comma = [], []
@@ -328,7 +350,8 @@ def features(rows: list[list[int]]) -> np.ndarray:
 
 
 class Detector:
-    def __init__(self, lex: Names, n_train: int = 7000, seed: int = 7):
+    def __init__(self, lex: Names, n_train: int = 7000, seed: int = 7, drawn: Names | None = None):
+        """The training texts are filled from ``drawn`` (else ``lex``) and looked up in ``lex``."""
         import random
 
         from .personal_training import sentences
@@ -337,7 +360,7 @@ class Detector:
         rng = random.Random(seed)
         rows: dict[str, list] = {k: [] for k in KINDS}
         partly = [lex.without(share, rng) for share in (0.1, 0.4, 0.7)]
-        for n, (text, truth) in enumerate(sentences(lex, n_train, seed)):
+        for n, (text, truth) in enumerate(sentences(drawn or lex, n_train, seed)):
             wanted = set(truth)
             # a register is never complete: part of the names of a training text are unknown
             for a, b, source, f in candidates(text, partly[n % len(partly)]):
@@ -350,6 +373,12 @@ class Detector:
             model = (Boosted(trees=100, depth=4, rate=0.2) if kind == "name" else Boosted(trees=60)).fit(x[~held], y[~held])
             self.models[kind], self.cuts[kind] = model, min(0.6, max(0.3, best_threshold(model.predict(x[held]), y[held], 1.2)))
 
+    def knowing(self, lex: Names) -> "Detector":
+        """The same models with other names to look up."""
+        got = copy.copy(self)
+        got.lex = lex
+        return got
+
     def find(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
         """Selected spans of each text, in order and without overlaps."""
         spans: dict[str, list] = {"email": [], "number": [], "address": [], "name": []}
@@ -376,26 +405,69 @@ class Detector:
         return out
 
 
-_TRAINED: dict[tuple, Detector] = {}
+_TRAINED: dict[str, Detector] = {}
+
+
+def _register(lexicon: DataFrame) -> DataFrame:
+    """``(low, kind)``: the given and family names, each once, in the lower case that words of a text are looked up in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([w.lower() for w in b.column(0).to_pylist()], pa.string()), b.column(1)], names=["low", "kind"])
+
+    names = lexicon.select("word", "kind").where("word <> '' and kind in ('given', 'family')")
+    return written(names.mapInArrow(run, "low string, kind string").distinct(), "names")
+
+
+def _traits(register: DataFrame) -> Traits:
+    """``traits_of`` the whole register, counted by the executors: as many rows as there are ends and starts."""
+    ends = ", ".join(f"named_struct('of', 'end', 'part', right(low, {n}))" for n in (2, 3, 4))
+    parts = F.expr(f"inline(if(kind = 'family', array({ends}, named_struct('of', 'start', 'part', left(low, 4))), array(named_struct('of', 'given', 'part', right(low, 2)))))")
+    out = {"end": Counter(), "start": Counter(), "given": Counter(w[-2:] for w in GIVEN)}
+    for of, part, n in register.where((F.col("kind") == "family") | ~F.col("low").isin(sorted(GIVEN))).select(parts).groupBy("of", "part").count().collect():
+        out[of][part] += n
+    return out["end"], out["start"], out["given"]
+
+
+def _met(register: DataFrame, texts: DataFrame) -> list[tuple[str, str]]:
+    """Names of the register that a word of ``texts`` (one column) can be looked up by; all others are never asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = set().union(*(words_in(t) for t in b.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({k for w in words for k in keys(w)}), pa.string())], names=["low"])
+
+    low = texts.toDF("text").where("text is not null").mapInArrow(run, "low string").distinct()
+    return [tuple(r) for r in register.join(low, "low", "left_semi").select("low", "kind").collect()]
 
 
-def detector(lexicon: DataFrame, n_train: int = 7000, docs: DataFrame | None = None, most: int = 200_000) -> Detector:
-    """Trained with a lexicon of at most ``most`` words (checked before it is collected).
+def detector(lexicon: DataFrame, n_train: int = 7000, docs: DataFrame | None = None, most: int = 200_000, draw: int = 50_000, seed: int = 7) -> Detector:
+    """Trained with the whole lexicon; of one over ``most`` names (checked) only those that ``docs`` (one column of texts) hold are collected.
 
-    Of a longer one only the words that ``docs`` (one column of texts) hold are taken; the others can't be met.
+    The models don't depend on ``most`` or ``docs``: ends and starts are counted over the whole lexicon, the training texts
+    are filled with the ``draw`` names of the least hashes and looked up in the whole, and a name that is not collected
+    is one that no word of ``docs`` is looked up by.
     """
-    words = lexicon.select("word", "kind").where("word is not null").distinct()
-    if words.count() > most:
-        if docs is None:
-            raise ValueError(f"the lexicon has more than {most} words")
-        held = docs.toDF("text").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}’']+"), F.lit(0))).alias("w")).select(F.lower("w").alias("low")).distinct()
-        words = words.withColumn("low", F.lower("word")).join(held, "low", "left_semi").select("word", "kind")
-    rows = tuple(sorted((r[0], r[1] or "") for r in words.collect()))
-    if (rows, n_train) not in _TRAINED:
+    from .personal_training import sentences
+
+    register = _register(lexicon)
+    n = register.count()
+    if n > most and docs is None:
+        raise ValueError(f"the lexicon has more than {most} words")
+    traits = _traits(register)
+    some = [tuple(r) for r in register.orderBy(F.xxhash64("low", "kind"), "low", "kind").limit(draw).collect()]
+    drawn = lex = Names.of(some, traits)
+    if n > draw:  # else all are drawn
+        made = register.sparkSession.createDataFrame([(t,) for t, _ in sentences(drawn, n_train, seed)], "text string")
+        lex = Names.of([*some, *_met(register, made)], traits)
+    asked = repr((n_train, seed, [sorted(w) for x in (drawn, lex) for w in (x.given, x.family)], [sorted(t.items()) for t in traits]))
+    key = hashlib.blake2b(asked.encode("utf-8", "surrogatepass")).hexdigest()
+    if key not in _TRAINED:
         if len(_TRAINED) > 3:
             _TRAINED.clear()
-        _TRAINED[rows, n_train] = Detector(Names.of(list(rows)), n_train)
-    return _TRAINED[rows, n_train]
+        _TRAINED[key] = Detector(lex, n_train, seed, drawn)
+    names = _met(register, docs) if n > most else [tuple(r) for r in register.collect()]
+    return _TRAINED[key].knowing(Names.of(names, traits))
 
 
 def personal_spans(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_train: int = 7000) -> DataFrame:

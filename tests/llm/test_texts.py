@@ -178,6 +178,22 @@ def test_long_lexicon(spark, lexicon):
         detector(more, 200, most=10)
 
 
+def test_a_lexicon_over_the_bound_gives_the_same(spark, lexicon):
+    """Models and words looked up depend on the whole lexicon, not on the bound or the other texts."""
+    more = lexicon.select("word", "kind").unionByName(spark.createDataFrame([("ZYL", "family"), ("zyl", "family"), ("quorra-lin", "given"), ("vantt", "family"), ("tess", "given"), ("", "given"), (None, "family"), ("zyl", None)], "word string, kind string"))
+    texts = ["The boat of Corwenna Zyl’s aunt left with Quorra-Lin Obrey-Vantt and Tess Zyl.", "Call 0171 5550123 or Mr. Howard Fielding.", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    whole, met, one = detector(more, 200), detector(more, 200, docs, most=10), detector(more, 200, docs.where("text like '%Corwenna%'"), most=10)
+    plain = Names.of([tuple(r) for r in more.collect()])
+    for d in (whole, met, one):
+        assert (d.lex.ends, d.lex.starts, d.lex.given_ends) == (plain.ends, plain.starts, plain.given_ends) and d.cuts == whole.cuts
+        assert all(d.lex.word(w) == plain.word(w) for w in ("Corwenna", "Zyl’s", "Quorra-Lin", "Obrey-Vantt", "Tess", "Zyl"))
+    assert len(met.lex.family) < len(plain.family) and whole.lex.given == plain.given and whole.lex.family == plain.family
+    assert whole.find(texts) == met.find(texts) and whole.find(texts[:1]) == one.find(texts[:1])
+    whole, met = detector(more, 200, draw=40), detector(more, 200, docs, most=10, draw=40)  # training texts filled from a part
+    assert whole.models is met.models and whole.lex.family == plain.family and whole.find(texts) == met.find(texts)
+
+
 def test_cases(found):
     for (text, want), got in zip(CASES, found.find([t for t, _ in CASES])):
         assert {(k, text[a:b]) for a, b, k in got} == want
