@@ -256,7 +256,7 @@ def token_index_candidates(spark, d):
 
 def token_index_candidates_all(spark, d):
     """Candidates of the whole index. Their number grows with the square of the documents that share a token."""
-    return I.token_index_candidates(I.token_postings(_five(spark, d))).select("a", "b", "score")
+    return I.token_index_pairs(_five(spark, d))
 
 
 def token_index_partners(spark, d):

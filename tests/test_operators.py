@@ -186,6 +186,33 @@ def test_hot_tokens_make_candidates_and_partners(spark):
     assert I.token_index_partners(df.limit(0)).count() == 0
 
 
+def test_pairs_of_the_whole_index_make_no_rows_of_tokens(spark):
+    """Copies share many tokens: pairs come once, from blocks of any size, with ids of any kind, and are joined nowhere."""
+    import random
+
+    rng = random.Random(3)
+    docs = [(f"d{n % 97}", [f"all {n % 2}"] * (n % 3) + [f"t{rng.randrange(900)}" for _ in range(rng.randrange(0, 5))] + [f"c{n % 15} {k}" for k in range(30 * (n % 4 == 0))]) for n in range(120)]
+    docs += [("none", None), ("empty", []), ("null", [None]), ("alone", ["x", "x"]), (None, ["all 0"])]
+    sets = {}
+    for i, t in docs:
+        sets.setdefault(i, set()).update(set(t or []) - {None})
+    pairs = sorted((a, b) for a in sets for b in sets if a and b and a < b and sets[a] & sets[b])
+    df = spark.createDataFrame(docs, "id string, t array<string>")
+    for each, of_part, dense in ((1000, 1000, 64), (20, 30, 3), (7, 10, 0)):
+        got = I.token_index_pairs(df, "id", "t", each=each, of_part=of_part, dense=dense)
+        assert got.dtypes == [("a", "string"), ("b", "string"), ("score", "double")]
+        assert sorted((r.a, r.b) for r in got.collect()) == pairs
+    assert I.token_index_pairs(df.limit(0), "id", "t").count() == 0
+
+
+def test_whole_index_query_moves_no_pairs(spark, sf):
+    from palimpsest.plans import registry
+
+    plan = registry.queries()["token_index_candidates_all"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("MapInArrow")]
+    assert not [x for x in ("Join", "Aggregate", "Repartition") if x in above]
+
+
 def slow_alignment(a, b, match=2, mismatch=-1, gap=-1):
     """The definition, cell by cell: a matrix of lists, the first best cell by column, the walk back to the largest neighbour."""
     m = [[0] * (len(a) + 1) for _ in range(len(b) + 1)]
